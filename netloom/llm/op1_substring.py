@@ -114,7 +114,10 @@ def read_texts(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def candidate_windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """texts (k1, k2, data, hashes): the windows whose minimizer is among hashes, as (w1, w2, k1, k2, start)."""
+    """texts (k1, k2, data, hashes, single): the windows whose minimizer is among hashes, as (w1, w2, k1, k2, start).
+
+    Key and start are null unless single: a text that has copies is gone as a whole, and only counts for others.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -129,7 +132,8 @@ def candidate_windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
                 continue
             w1, w2, start = (np.concatenate(c) for c in zip(*found))
             k1, k2 = (np.repeat(c.to_numpy(zero_copy_only=False), size) for c in b.columns[:2])
-            yield pa.RecordBatch.from_arrays([signed(w1), signed(w2), pa.array(k1), pa.array(k2), pa.array(start)], ["w1", "w2", "k1", "k2", "start"])
+            none = np.repeat(~b.column(4).to_numpy(zero_copy_only=False), size)
+            yield pa.RecordBatch.from_arrays([signed(w1), signed(w2), pa.array(k1, mask=none), pa.array(k2, mask=none), pa.array(start, mask=none)], ["w1", "w2", "k1", "k2", "start"])
 
     return texts.mapInArrow(work, "w1 long, w2 long, k1 long, k2 long, start int")
 
@@ -171,11 +175,10 @@ def dedup(docs: DataFrame, window: int = 35, gram: int = 8, batches: int = 2, te
     hits = staged(hits.join(known.select("k1", "k2", "first_id", "copies"), ["k1", "k2"]), "hits")
     drop_path(spark, index.path)
     sought = base.join(hits, ["k1", "k2"]).where(F.col("doc_id").eqNullSafe(F.col("first_id")))
-    windows = staged(candidate_windows(sought.select("k1", "k2", "data", "hashes"), window, gram), "windows")
+    windows = staged(candidate_windows(sought.select("k1", "k2", "data", "hashes", (F.col("copies") == 1).alias("single")), window, gram), "windows")
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    single = known.where("copies = 1").select("k1", "k2")
-    starts = windows.join(twice, ["w1", "w2"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("start").alias("starts"))
-    starts = staged(starts.join(single, ["k1", "k2"], "left_semi"), "starts")
+    starts = windows.where("start is not null").join(twice, ["w1", "w2"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("start").alias("starts"))
+    starts = staged(starts, "starts")
     unstage(windows, hits)
     left = cut(base.join(starts, ["k1", "k2"]).select("k1", "k2", "data", "starts"), window)
     left = left.select("k1", "k2", "n_removed", F.sha2("kept", 256).alias("kept_sha"), *[F.col("kept").cast("string").alias("kept_text")] * text)
