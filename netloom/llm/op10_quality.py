@@ -109,8 +109,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4096, modulus: int = 3
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.list_(pa.int64())), pa.array(n, pa.list_(pa.float32()))], ["id", "y", "at", "n"])
 
     rows = rows.select("__id", "__y", "__data").mapInArrow(work, "id long, y int, at array<long>, n array<float>")
-    found = rows.limit(4 * sample).toPandas().sort_values(["id", "y"], kind="stable")
-    return Voters(list(zip(found["at"], found["n"])), found["y"].to_numpy(np.float32), terms, rank, k)
+    found = rows.limit(4 * sample).toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
+    vectors = [(at.values.to_numpy(), n.values.to_numpy()) for at, n in zip(found["at"], found["n"])]
+    return Voters(vectors, found["y"].to_numpy().astype(np.float32), terms, rank, k)
 
 
 def score_quality(docs: DataFrame, voters: Voters) -> DataFrame:

@@ -162,11 +162,10 @@ def train(texts: DataFrame, max_nodes: int = 3_000_000) -> Trie:
     marginal = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("g").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("g")) for k in range(ORDER + 1)]))
     levels = staged(full.select(marginal.alias("x"), "c").groupBy("x.k", "x.g").agg(F.sum("c").alias("c")), "levels")
     least = threshold(levels, max_nodes)
-    table = levels.where(F.col("c") >= least).toPandas()
     out = []
     for k in range(ORDER + 1):
-        part = table[table["k"] == k]
-        node, count = part["g"].to_numpy(np.int64).view(np.uint64), part["c"].to_numpy(np.int64)
+        part = levels.where((F.col("k") == k) & (F.col("c") >= least)).select("g", "c").toArrow()
+        node, count = part["g"].to_numpy().view(np.uint64), part["c"].to_numpy()
         order = np.argsort(node)
         out.append((node[order], count[order]))
     release(texts.sparkSession)
@@ -184,8 +183,8 @@ def ppm_scores(docs: DataFrame, modulus: int = 7, held: int = 2, head: int = 1_0
     ends = training.count()
     words, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = words + ends, kinds + (ends > 0)
-    common = counts.where(F.col("c") >= threshold(counts, head)).toPandas()
-    table, count = common["w"].to_numpy(np.int64).view(np.uint64), common["c"].to_numpy(np.int64)
+    common = counts.where(F.col("c") >= threshold(counts, head)).select("w", "c").toArrow()
+    table, count = common["w"].to_numpy().view(np.uint64), common["c"].to_numpy()
     order = np.argsort(table)
     complete = len(table) == kinds
     model = spark.sparkContext.broadcast((trie, table[order], count[order]))  # 16 bytes for each of head words and max_nodes nodes
