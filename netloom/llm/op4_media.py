@@ -176,7 +176,9 @@ class ArchiveReader(DataSourceReader):
                 error = f"{type(e).__name__}: {e}"
         return None, error, handle
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no archive at all
+            return
         fs, _ = open_fs(self.path)
         handle, rows, held = fs.open_input_file(partition.archive), [], 0
         schema = pa.schema([("archive", pa.string()), ("member", pa.string()), ("offset", pa.int64()), ("media", pa.binary()), ("error", pa.string())])

@@ -106,7 +106,12 @@ def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     body = F.substring(digits_only(norm, bits, 1), F.lit(1), F.length(norm) - 1)
     card = F.concat(body, ((10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
     octets = F.array_join(F.transform(F.split(norm, r"\."), lambda c, i: F.when((i == 0) & c.isin("10", "127", "192", "172"), c).otherwise((pick(bits, i, 254) + 1).cast("string"))), ".")
-    names = lambda table, at: F.array(*[F.lit(n) for n in table])[pick(bits, F.lit(at), len(table))]
+
+    def names(table: list[str], at: int) -> Column:
+        """A name of the table that is no part of what it replaces."""
+        free = F.filter(F.array(*[F.lit(n) for n in table]), lambda n: ~F.array_contains(F.split(F.substring(norm, F.lit(3), F.length(norm)), " "), F.lower(n)))
+        return free[pick(bits, F.lit(at), 1 << 20) % F.size(free)]
+
     given = F.when(norm.startswith("m:"), names(MALE, 0)).otherwise(names(FEMALE, 1))
     family = F.concat(names(FAMILY, 2), F.when(attempt > 0, F.lower(names(FAMILY, 3))).otherwise(""), F.when(attempt > 2, F.lower(names(FAMILY, 4))).otherwise(""))
     name = F.when(norm.contains(" "), F.concat_ws(" ", given, family)).otherwise(family)

@@ -26,9 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, components, mix64, release, run_hash, staged, text_bytes, unstage, wide_key
+from .common import WORD, components, mix64, release, run_hash, staged, text_bytes, wide_key
 
 BASE = 6364136223846793005
+SMALL = 500_000
 TABLE = 1 << 18  # frequent shingles that the order knows; it affects speed only
 
 
@@ -108,16 +109,12 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int, frequent) -> DataFrame
     return docs.mapInArrow(work, "doc_id long, d1 long, n long, prefix array<long>, often int, last long")
 
 
-def qualifying(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of groups whose prefix unions share enough shingles for some pair of members.
+def most_shared(met: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of met that can link by what their prefixes share: m shingles, the last at at_a and at_b.
 
     Of two sets, every prefix shingle of the one whose prefix ends first is either shared with the other's prefix or not
     shared at all; so are, in either set, the shingles before the last shared one.
     """
-    matrix = sets.select("gid", "n", "often", "last", F.posexplode("prefix").alias("at", "token")).repartition("token").groupBy("token", "gid", "n", "often", "last").agg(F.min("at").alias("at"))
-    side = lambda x: matrix.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("gid", "n", "often", "last", "at")])
-    sizes = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
-    met = side("a").join(side("b"), "token").where((F.col("gid_a") < F.col("gid_b")) & sizes)
     met = met.groupBy(*[f"{c}_{x}" for x in "ab" for c in ("gid", "n", "often", "last")]).agg(F.count("*").alias("m"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
     left = lambda n: F.ceil(n * num / den - 1e-9) - 1 + F.col("m")  # noqa: E731  shingles behind the prefix, and the shared ones
     a_first = F.struct("often_a", "last_a") <= F.struct("often_b", "last_b")
@@ -125,6 +122,30 @@ def qualifying(sets: DataFrame, num: int, den: int) -> DataFrame:
     return met.where(most * (num + den) >= num * (F.col("n_a") + F.col("n_b"))).select(F.col("gid_a").alias("a"), F.col("gid_b").alias("b"))
 
 
+def bundled(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (id, root): bundles of groups (ids) that qualifying pairs connect; groups that no pair names are absent.
+
+    First every group meets only the least group under each of its shingles, so a family of near copies becomes one
+    bundle by a number of pairs that grows with its size; then groups of different bundles meet under shared shingles.
+    """
+    own = ["gid", "n", "often", "last", "at"]
+    matrix = sets.select(*own[:4], F.posexplode("prefix").alias("at", "token")).groupBy("token", *own[:4]).agg(F.min("at").alias("at"))
+    matrix = staged(matrix.withColumn("several", F.count("*").over(Window.partitionBy("token"))).where("several > 1").drop("several"), "matrix")
+    sizes = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
+    side = lambda x, df, *more: df.select("token", *[F.col(c).alias(f"{c}_{x}") for c in [*own, *more]])
+    least = matrix.groupBy("token").agg(F.min(F.struct(*own)).alias("x")).select("token", "x.*")
+    star = side("a", least).join(side("b", matrix), "token").where((F.col("gid_a") < F.col("gid_b")) & sizes)
+    first = staged(components(staged(most_shared(star, num, den), "stars"), "bundles"), "first-bundles")
+    known = matrix.join(first, F.col("gid") == F.col("id"), "left").select("token", *own, F.coalesce("root", "gid").alias("root"))
+    mixed = known.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+    known = staged(known.join(mixed, "token", "left_semi"), "mixed")
+    met = side("a", known, "root").join(side("b", known, "root"), "token").where((F.col("gid_a") < F.col("gid_b")) & (F.col("root_a") != F.col("root_b")) & sizes)
+    more = staged(most_shared(met, num, den), "more-pairs")
+    if more.isEmpty():
+        return first
+    return components(staged(first.toDF("a", "b").union(more), "all-pairs"), "bundles")
+
+
 class Union:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -214,13 +235,14 @@ def linked_rows(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, bloc
     frequent = spark.sparkContext.broadcast(np.sort(top.view(np.uint64)))  # TABLE * 8 bytes at most
     known = prefixes(base, k, num, den, frequent).groupBy("d1").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "prefix", "often", "last")])
     known = staged(known.withColumn("gid", F.xxhash64(F.col("prefix")[0], "last", "n")), "prefixes")
-    pairs = staged(qualifying(known, num, den), "groups")
-    bundles = staged(components(pairs, "bundles"), "bundled")
+    bundles = staged(bundled(known, num, den), "bundled")
     member = known.select("d1", "doc_id", "n", "gid").join(bundles, F.col("gid") == F.col("id"), "left").select("d1", "doc_id", "n", F.coalesce("root", "gid").alias("bundle"))
     per = member.groupBy("bundle").agg(F.count("*").alias("sets"), F.sum("n").alias("size")).where("sets > 1")
     per = per.select("bundle", F.ceil(F.greatest(F.col("sets") / block_sets, F.col("size") / block_shingles)).cast("int").alias("blocks"))
     opened = staged(member.join(per, "bundle").select("bundle", "blocks", "d1", F.col("doc_id").alias("rep"), F.pmod(F.xxhash64("d1"), "blocks").cast("int").alias("block")), "opened")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    if opened.count() <= SMALL:  # 40 bytes a row; larger tables are joined by shuffle
+        opened = F.broadcast(opened)
     flow = base.join(opened, F.col("doc_id").eqNullSafe(F.col("rep"))).select("bundle", "block", "d1", "data", other.alias("o"))
     flow = flow.select("bundle", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "d1", "data")
     links = staged(verified(flow.repartition("bundle", "i", "j").sortWithinPartitions("bundle", "i", "j", "d1"), k, num, den), "links")
@@ -229,7 +251,6 @@ def linked_rows(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, bloc
     first = staged(first, "roots")
     ids = first.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = first.join(ids, "root").select(F.col("d1").alias("id"), "component_id")
-    unstage(pairs, opened)
     release(spark)
     out = rows.where("kind = 0").join(named, F.col("d1") == F.col("id"), "left")
     return out.select("k1", "k2", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
