@@ -265,7 +265,7 @@ def test_op8(docs, rows, none):
                 spent[x] += n
         assert spent == h
         plain = op8_packing.best_fit(sorted(((k, n) for k, n in h.items()), reverse=True), 64)
-        assert sum(n for _, n in got) <= sum(n for _, n in plain) + 1
+        assert sum(n for _, n in got) <= 1.03 * sum(n for _, n in plain)
     odd = "a​b <|endoftext|> \x1c 　 日本 \x85 '’s don't  \n\n x"
     assert op8_packing.Ids(tokenizer_path())(odd) == np.array(tok.encode(odd, add_special_tokens=False).ids, "<u4").tobytes()
     assert struct.calcsize("<I") == 4
