@@ -12,7 +12,9 @@ is the short one; repeated rows are packed as often as they occur; an empty tabl
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,34 +30,38 @@ PLAIN = r"[^\x00-ɏ‐-‧]"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 
-class Ids:
-    """Token ids of texts as little-endian unsigned 32-bit bytes; pre-tokens are cached, the cache is bounded."""
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself where it prints, else the next from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in plain)}
 
-    def __init__(self, path: str, most: int = 400_000):
+
+class Ids(dict):
+    """Token ids of texts as little-endian unsigned 32-bit bytes; it maps pre-tokens to theirs, and is bounded."""
+
+    def __init__(self, path: str, most: int = 1_000_000):
         import regex
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.find, self.odd, self.cache, self.most = regex.compile(WORDS).findall, regex.compile(PLAIN).search, {}, most
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.find, self.odd, self.most = regex.compile(WORDS).findall, regex.compile(PLAIN).search, most
+        self.merge, self.letters = self.tokenizer.model.tokenize, str.maketrans({chr(b): c for b, c in byte_letters().items()})
+
+    def __missing__(self, word: str) -> bytes:
+        ids = array("I", [t.id for t in self.merge(word.encode().decode("latin-1").translate(self.letters))])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = out = ids.tobytes()
+        return out
 
     def __call__(self, text: str) -> bytes:
         if self.odd(text):  # characters whose classes may depend on the Unicode version: no cutting here
-            return self.whole(text)
-        cache, words = self.cache, self.find(text)
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in cache]
-            if len(cache) + len(new) > self.most:
-                cache.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-            return b"".join([cache[w] for w in words])
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join([self[w] for w in self.find(text)])
 
 
 @lru_cache(2)
