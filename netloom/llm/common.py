@@ -81,6 +81,18 @@ def remainder(column: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def threshold(counts: DataFrame, most: int) -> int:
+    """The least count of which at most `most` rows have as much or more; counts are compared exactly below 2048."""
+    scale = F.when(F.col("c") < 2048, F.col("c")).otherwise(F.pow(F.lit(2), F.ceil(F.log2("c") * 8) / 8).cast("long"))
+    total, least = 0, 1
+    for level, n in sorted(counts.groupBy(scale.alias("s")).agg(F.count("*")).collect(), reverse=True):
+        total += n
+        if total > most:
+            return least
+        least = level
+    return 1
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, element by element."""
     x = x ^ (x >> np.uint64(31))

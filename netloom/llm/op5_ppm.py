@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, remainder, staged, text_bytes, wide_key
+from .common import release, remainder, staged, text_bytes, threshold, wide_key
 
 ORDER = 5
 START, END = b"\xfe" * ORDER, b"\xff"
@@ -92,18 +92,6 @@ def count_words(texts: DataFrame, block: int = 400_000) -> DataFrame:
     return texts.mapInArrow(work, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def threshold(counts: DataFrame, most: int) -> int:
-    """The least count of which at most `most` rows have as much or more; counts are compared exactly below 2048."""
-    scale = F.when(F.col("c") < 2048, F.col("c")).otherwise(F.pow(F.lit(2), F.ceil(F.log2("c") * 8) / 8).cast("long"))
-    total, least = 0, 1
-    for level, n in sorted(counts.groupBy(scale.alias("s")).agg(F.count("*")).collect(), reverse=True):
-        total += n
-        if total > most:
-            return least
-        least = level
-    return 1
-
-
 class Trie:
     """Sorted arrays for each order: nodes (context and symbol) with counts, contexts with totals, kinds and excluded mass."""
 

@@ -2,7 +2,7 @@
 
 1. Texts become sets of hashed word shingles; equal sets are one set with copies.
 2. Shingles are ordered by (frequent last, hash); a set's prefix, its first n - ceil(t n) + 1 shingles, must meet the
-   prefix of every set it links with. Frequent ones are found by counting inside blocks of every input partition.
+   prefix of every set it links with. Frequent ones are found by counting over all documents.
 3. Sets of one size whose prefixes begin and end with the same shingles are a group. The matrix (shingle, group) holds the
    union of its members' prefixes. Two groups qualify only if what their unions share can lift some pair to the threshold.
 4. Qualifying groups are opened: the texts of each connected bundle of groups meet, in blocks of bounded size, and there
@@ -26,11 +26,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, components, mix64, release, run_hash, staged, text_bytes, wide_key
+from .common import WORD, components, mix64, release, run_hash, staged, text_bytes, threshold, unstage, wide_key
 
 BASE = 6364136223846793005
 SMALL = 500_000
-TABLE = 1 << 18  # frequent shingles that the order knows; it affects speed only
+TABLE, FREQUENT = 1 << 20, 16  # frequent shingles that the order knows, and their least count; they affect speed only
 
 
 def shingles(data: bytes, k: int) -> np.ndarray:
@@ -52,37 +52,46 @@ def prefix_length(n: int, num: int, den: int) -> int:
 
 
 def set_rows(docs: DataFrame, k: int) -> DataFrame:
-    """A row of kind 0 for each document: doc_id, n, digest d1, key of the text; rows of kind 1: shingles frequent in a block."""
-    names = ["kind", "doc_id", "n", "d1", "k1", "k2"]
-    schema = pa.schema([(name, pa.int64()) for name in names])
-
-    def frequent(held: list[np.ndarray]) -> pa.RecordBatch:
-        tokens = np.sort(np.concatenate(held))
-        starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-        counts = np.diff(np.append(starts, len(tokens)))
-        keep = counts >= 16
-        values = tokens[starts[keep]].view(np.int64)
-        none = pa.nulls(len(values), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(values), np.int64)), none, pa.array(counts[keep].astype(np.int64)), pa.array(values), none, none], schema=schema)
+    """A row for each document: doc_id, n, digest d1, key of the text."""
+    names = ["doc_id", "n", "d1", "k1", "k2"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(data, k) for data in b.column(1).to_pylist()]
+            n, d1 = [len(s) for s in sets], [digest(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), b.column(2), b.column(3)], names)
+
+    return docs.mapInArrow(work, ", ".join(f"{name} long" for name in names))
+
+
+def frequent_shingles(docs: DataFrame, k: int, block: int = 4_000_000) -> np.ndarray:
+    """Sorted shingles of FREQUENT documents or more, at most TABLE of them, the most frequent first.
+
+    Counted over all documents. The table sets the order, never a result.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> pa.RecordBatch:
+            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts, pa.int64())], ["token", "c"])
+
         held, size = [], 0
         for b in batches:
-            n, d1 = [], []
             for data in b.column(1).to_pylist():
                 s = shingles(data, k)
-                n.append(len(s))
-                d1.append(digest(s))
                 held.append(s)
                 size += len(s)
-                if size > 4_000_000:
-                    yield frequent(held)
+                if size > block:
+                    yield counted()
                     held, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int64)), b.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), b.column(2), b.column(3)], schema=schema)
         if size:
-            yield frequent(held)
+            yield counted()
 
-    return docs.mapInArrow(work, ", ".join(f"{name} long" for name in names))
+    counts = docs.mapInArrow(work, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT)
+    counts = staged(counts, "frequent")
+    found = counts.where(F.col("c") >= threshold(counts, TABLE)).select("token").toArrow()["token"].to_numpy()
+    unstage(counts)
+    return np.sort(found.view(np.uint64))
 
 
 def prefixes(docs: DataFrame, k: int, num: int, den: int, frequent) -> DataFrame:
@@ -139,8 +148,10 @@ def bundled(sets: DataFrame, num: int, den: int) -> DataFrame:
     known = matrix.join(first, F.col("gid") == F.col("id"), "left").select("token", *own, F.coalesce("root", "gid").alias("root"))
     mixed = known.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
     known = staged(known.join(mixed, "token", "left_semi"), "mixed")
-    met = side("a", known, "root").join(side("b", known, "root"), "token").where((F.col("gid_a") < F.col("gid_b")) & (F.col("root_a") != F.col("root_b")) & sizes)
-    more = staged(most_shared(met, num, den), "more-pairs")
+    # The first shingle that a pair shares leaves room for the overlap it needs; a pair that links has a row that shows it.
+    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) * (num + den) >= num * (F.col("n_a") + F.col("n_b"))
+    met = side("a", known, "root").join(side("b", known, "root"), "token").where((F.col("gid_a") < F.col("gid_b")) & (F.col("root_a") != F.col("root_b")) & sizes & room)
+    more = staged(met.select(F.col("gid_a").alias("a"), F.col("gid_b").alias("b")).distinct(), "more-pairs")
     if more.isEmpty():
         return first
     return components(staged(first.toDF("a", "b").union(more), "all-pairs"), "bundles")
@@ -231,8 +242,7 @@ def linked_rows(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, bloc
     k1, k2 = wide_key(data)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), data.alias("data"), k1.alias("k1"), k2.alias("k2"))
     rows = staged(set_rows(base, k), "sets")
-    top = rows.where("kind = 1").groupBy("d1").agg(F.sum("n").alias("n")).where("n >= 64").orderBy(F.desc("n"), "d1").limit(TABLE).select("d1").toPandas()["d1"].to_numpy(np.int64)
-    frequent = spark.sparkContext.broadcast(np.sort(top.view(np.uint64)))  # TABLE * 8 bytes at most
+    frequent = spark.sparkContext.broadcast(frequent_shingles(base, k))  # TABLE * 8 bytes at most
     known = prefixes(base, k, num, den, frequent).groupBy("d1").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "prefix", "often", "last")])
     known = staged(known.withColumn("gid", F.xxhash64(F.col("prefix")[0], "last", "n")), "prefixes")
     bundles = staged(bundled(known, num, den), "bundled")
@@ -252,7 +262,7 @@ def linked_rows(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, bloc
     ids = first.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = first.join(ids, "root").select(F.col("d1").alias("id"), "component_id")
     release(spark)
-    out = rows.where("kind = 0").join(named, F.col("d1") == F.col("id"), "left")
+    out = rows.join(named, F.col("d1") == F.col("id"), "left")
     return out.select("k1", "k2", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
