@@ -64,16 +64,19 @@ def set_rows(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(work, ", ".join(f"{name} long" for name in names))
 
 
-def frequent_shingles(docs: DataFrame, k: int, block: int = 4_000_000) -> np.ndarray:
+def frequent_shingles(docs: DataFrame, k: int, block: int = 1_000_000, rows: int = 100_000) -> np.ndarray:
     """Sorted shingles of FREQUENT documents or more, at most TABLE of them, the most frequent first.
 
-    Counted over all documents. The table sets the order, never a result.
+    Counted over all documents, first within blocks; these leave in batches of `rows`, as the JVM holds a batch outside its
+    heap. The table sets the order, never a result.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counted() -> pa.RecordBatch:
+        def counted() -> Iterator[pa.RecordBatch]:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts, pa.int64())], ["token", "c"])
+            for at in range(0, len(values), rows):
+                part = slice(at, at + rows)
+                yield pa.RecordBatch.from_arrays([pa.array(values[part].view(np.int64)), pa.array(counts[part], pa.int64())], ["token", "c"])
 
         held, size = [], 0
         for b in batches:
@@ -82,10 +85,10 @@ def frequent_shingles(docs: DataFrame, k: int, block: int = 4_000_000) -> np.nda
                 held.append(s)
                 size += len(s)
                 if size > block:
-                    yield counted()
+                    yield from counted()
                     held, size = [], 0
         if size:
-            yield counted()
+            yield from counted()
 
     counts = docs.mapInArrow(work, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= FREQUENT)
     counts = staged(counts, "frequent")
