@@ -181,6 +181,16 @@ def test_ppm_is_a_distribution_and_matches_a_plain_trie():
         assert p.tolist() == pytest.approx([plain(context, s) for s in range(256)])
 
 
+def test_op5_scores_by_the_whole_trie(docs, rows):
+    texts = [(t or "").encode() for _, t in rows]
+    held = [zlib.crc32(("" if k is None else str(k)).encode()) % 7 == 2 for k, _ in rows]
+    code = op5_ppm.grams([t for t, h in zip(texts, held) if not h])[0]
+    trie = op5_ppm.Trie([op5_ppm.tally(code & np.uint64((1 << 8 * (k + 1)) - 1)) for k in range(op5_ppm.ORDER + 1)])
+    want = sorted((str(k), round(float(trie.log10(op5_ppm.grams([t])[0]).sum()), 6)) for (k, _), t in zip(rows, texts))
+    for most in (1, 100, 3_000_000):
+        assert sorted((str(r.doc_id), round(r.score, 6)) for r in op5_ppm.ppm_scores(docs, max_nodes=most).collect()) == want
+
+
 def test_op6(docs, none, spark, rows):
     text = "Mr John Smith met Mrs. Ana Lopez; call +1 (212) 555-1234 or jo.x@mail.example.com, JO.X@mail.example.com, from 10.0.0.7, card 4111 1111 1111 1111, not 4111111111111112, ssn 123-45-6789, token = \"" + "0a" * 20 + '"'
     data = [(1, text, "a"), (2, text, "b"), (3, "call +1 (212) 555-1234 and +1 (212) 555-1235", None), (4, None, "n"), (5, "", "e"), (6, "clean 12 3.5 text 2024-01-02", "c")]
