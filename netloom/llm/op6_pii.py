@@ -1,8 +1,10 @@
 """PII surrogates, with DataFrame and SQL functions only.
 
 Detected: e-mail addresses, card numbers (Luhn-valid), phone numbers, IPv4 addresses, social security numbers, secret tokens
-(hexadecimal or with a known prefix) and names behind a title. One pattern finds them all in one pass; each entity has a
-normal form (case, spaces and marks folded), and its surrogate is made from sha2(key, type, normal form, attempt): the same
+(hexadecimal or with a known prefix) and names behind a title. Each type is sought on its own in the whole text, cards at
+every digit where one may begin, so that digits that fail a check hide nothing; where valid entities of two types overlap,
+the type that stands first in PATTERNS is taken. Cards are 13 to 19 digits without a break, or groups of 4-4-4-4, 4-4-4-4-3,
+4-6-5, 4-6-4 or 4-3-3-3; a phone number ends before an address, card or social security number. Each entity has a normal form (case, spaces and marks folded), and its surrogate is made from sha2(key, type, normal form, attempt): the same
 normal form gets the same surrogate everywhere. A surrogate keeps type and format: digits stay digits, letters stay letters
 of their script and case, marks stay in place, cards stay Luhn-valid, country codes and top-level domains stay, addresses
 of one domain share their surrogate domain, octets stay octets, and names keep the gender that their title shows.
@@ -30,16 +32,24 @@ FAMILY = ["Abel", "Bauer", "Costa", "Dupont", "Ebert", "Ferrer", "Garcia", "Hans
 TOPS = 64  # attempts before the checks give up; each attempt is a fresh hash
 
 TITLES = "|".join(MALE_TITLES + FEMALE_TITLES)
+IP = r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)"
+SSN = r"\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}\-])"
+NO_IP = rf"(?!(?<![\p{{L}}\p{{N}}.]){IP})"
+GROUP = rf"{NO_IP}(?!(?<![\p{{L}}\p{{N}}\-]){SSN})(?!(?<![\p{{L}}\p{{N}}.])(?:(?:\d{{4}} ){{3}}|(?:\d{{4}}-){{3}}|\d{{12}})\d{{4}}(?!\d))\d{{2,4}}"
+END = r"(?![\p{L}\p{N}])"
+#: By priority. A blank joins a fourth group of a phone number only where a blank joined the third.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)+",
     "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![\p{L}\p{N}])",
-    "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,4}){2,3}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?![\p{L}\p{N}])",
-    "card": r"(?<![\p{L}\p{N}.])\d(?:[ \-]?\d){12,18}(?![\p{L}\p{N}])",
-    "ssn": r"(?<![\p{L}\p{N}\-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}\-])",
-    "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}]|\.\d)",
-    "name": rf"(?<!\p{{L}})(?:{TITLES})\.? \p{{Lu}}\p{{L}}++(?: \p{{Lu}}\p{{L}}++)?",
+    "phone": rf"(?<![\p{{L}}\p{{N}}+])(?:\+1[ .\-]?(?:\(\d{{3}}\)|\d{{3}})[ .\-]?\d{{3}}[ .\-]?\d{{4}}{END}|\+\d{{1,3}}[ .\-]?\(?{NO_IP}\d{{2,4}}\)?[ .\-]?{NO_IP}\d{{2,4}}(?:[.\-]?{GROUP}(?:[.\-]?{GROUP})?| {GROUP}(?:[ .\-]?{GROUP})?){END})|(?<![\p{{L}}\p{{N}}])\(\d{{3}}\) ?\d{{3}}[ .\-]\d{{4}}{END}",
+    "ip": rf"(?<![\p{{L}}\p{{N}}.]){IP}",
+    "ssn": rf"(?<![\p{{L}}\p{{N}}\-]){SSN}",
+    "card": rf"(?<![\p{{L}}\p{{N}}.])(?:\d{{4}}[ \-]?){{3}}\d{{4}}{END}",
+    "card of other length": rf"(?<![\p{{L}}\p{{N}}.])(?:\d{{13,19}}|(?:\d{{4}}[ \-]){{4}}\d{{1,3}}|\d{{4}}[ \-]\d{{6}}[ \-]\d{{4,5}}|\d{{4}}(?:[ \-]\d{{3}}){{3}}){END}",
+    "name": rf"(?<!\p{{L}})(?:{TITLES})\.? \p{{Lu}}\p{{L}}++(?: (?!(?:{TITLES})(?!\p{{L}}))\p{{Lu}}\p{{L}}++)?",
 }
 ANY = "|".join(PATTERNS.values())
+SPAN = "struct<rank:int,at:int,len:int,kind:string,value:string>"
 HINT = rf"[@\d]|(?:{TITLES})\.? \p{{Lu}}|[0-9a-fA-F]{{32}}"
 
 
@@ -50,13 +60,26 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(step, F.lit(0), lambda a, x: a + x)
 
 
-def kind_of(value: Column) -> Column:
-    """Type of a match; null for digits that only look like a card."""
-    whole = lambda k: value.rlike(rf"^(?:{PATTERNS[k]})$")
-    digits = F.regexp_replace(value, r"\D", "")
-    out = F.when(value.contains("@"), "email").when(whole("secret") & ~value.rlike(r"^\d{1,31}$"), "secret").when(whole("phone"), "phone")
-    out = out.when(whole("ssn"), "ssn").when(whole("ip"), "ip").when(value.rlike(r"^\d[\d \-]*$") & (F.length(digits) >= 13), F.when(luhn_sum(digits) % 10 == 0, "card"))
-    return out.when(whole("name"), "name")
+def candidates(text: Column, rank: int, name: str) -> Column:
+    """All that matches a pattern, at every place where one begins, as SPANs; digits that only look like a card are left out."""
+    pattern, kind = PATTERNS[name], name.split()[0]
+    found, parts = F.regexp_extract_all(text, F.lit(f"(?=({pattern}))"), 1), F.split(text, f"(?=(?:{pattern}))", -1)
+
+    def placed(x: Column) -> Column:
+        ahead = F.size(x["parts"]) - F.size(x["found"])  # a match at the very start has no part ahead of it
+        at = lambda i: F.aggregate(F.slice(x["parts"], F.lit(1), i + ahead), F.lit(0), lambda n, p: n + F.length(p))
+        return F.transform(x["found"], lambda v, i: F.struct(F.lit(rank).alias("rank"), at(i).alias("at"), F.length(v).alias("len"), F.lit(kind).alias("kind"), v.alias("value")))
+
+    out = F.transform(F.array(F.struct(found.alias("found"), parts.alias("parts"))), placed)[0]
+    if kind == "card":
+        out = F.filter(out, lambda x: luhn_sum(F.regexp_replace(x["value"], r"\D", "")) % 10 == 0)
+    return F.when(text.rlike(pattern), out).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def apart(spans: Column) -> Column:
+    """The spans by rank and place, without those that overlap an earlier one."""
+    free = lambda kept, x: ~F.exists(kept, lambda k: (k["at"] < x["at"] + x["len"]) & (x["at"] < k["at"] + k["len"]))
+    return F.aggregate(F.array_sort(spans), F.array().cast(f"array<{SPAN}>"), lambda kept, x: F.when(free(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
 
 
 def normal(kind: Column, value: Column) -> Column:
@@ -153,28 +176,30 @@ def settled(found: DataFrame, key: str) -> DataFrame:
     raise ValueError(f"entities without a surrogate of their own after {TOPS} attempts")
 
 
-def matches(text: Column) -> Column:
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(f"({ANY})"), 1)).otherwise(F.array().cast("array<string>"))
+def suspect(text: Column) -> Column:
+    """Whether any pattern matches; null for null."""
+    return text.rlike(HINT) & text.rlike(ANY)
 
 
 def replace_pii(docs: DataFrame, key: str = "netloom") -> DataFrame:
     """docs with surrogates in text, and column n_entities (how many were replaced); key keeps surrogates apart between owners."""
     names = docs.columns
     k1, k2 = wide_key(F.col("text"))
-    body = docs.select(F.struct("*").alias("__row"), F.col("text").alias("__text"), k1.alias("__k1"), k2.alias("__k2"), matches(F.col("text")).alias("__found"))
-    entity = body.where(F.size("__found") > 0).select("__k1", "__k2", F.posexplode("__found").alias("pos", "value")).distinct()
-    entity = entity.withColumn("kind", kind_of(F.col("value"))).where(F.col("kind").isNotNull())
+    body = docs.select(F.struct("*").alias("__row"), F.col("text").alias("__text"), k1.alias("__k1"), k2.alias("__k2"))
+    spans = apart(F.concat(*[candidates(F.col("__text"), rank, name) for rank, name in enumerate(PATTERNS)]))
+    entity = body.where(F.col("__text").rlike(HINT)).select("__k1", "__k2", F.explode(spans).alias("x")).select("__k1", "__k2", "x.at", "x.len", "x.kind", "x.value").distinct()
     entity = staged(entity.withColumn("norm", normal(F.col("kind"), F.col("value"))), "found")
     table = settled(entity.select("kind", "norm").distinct(), key)
-    new = entity.join(table, ["kind", "norm"]).select("__k1", "__k2", F.struct("pos", dress(F.col("kind"), F.col("value"), F.col("sur")).alias("new")).alias("x"))
+    new = entity.join(table, ["kind", "norm"]).select("__k1", "__k2", F.struct("at", "len", dress(F.col("kind"), F.col("value"), F.col("sur")).alias("new")).alias("x"))
     # A document's entities meet: bounded by its text.
-    new = staged(new.groupBy("__k1", "__k2").agg(F.map_from_entries(F.collect_list("x")).alias("__new")), "replacements")
+    new = staged(new.groupBy("__k1", "__k2").agg(F.array_sort(F.collect_list("x")).alias("__new")), "replacements")
     release(docs.sparkSession)
-    parts = F.split("__text", ANY, -1)
-    filled = F.transform("__found", lambda m, i: F.coalesce(F.col("__new")[i], m))
-    text = F.array_join(F.zip_with(parts, F.concat(filled, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    changed = body.where(F.size("__found") > 0).join(new, ["__k1", "__k2"], "left")
+    end = lambda x: x["at"] + x["len"]
+    begin = lambda i: F.when(i == 0, 0).otherwise(end(F.col("__new")[i - 1]))
+    filled = F.transform("__new", lambda x, i: F.concat(F.substring(F.col("__text"), begin(i) + 1, x["at"] - begin(i)), x["new"]))
+    text = F.concat(F.array_join(filled, ""), F.substring(F.col("__text"), end(F.element_at("__new", -1)) + 1, F.length("__text")))
+    changed = body.where(suspect(F.col("__text"))).join(new, ["__k1", "__k2"], "left")
     count = F.when(F.col("__new").isNull(), 0).otherwise(F.size("__new"))
     changed = changed.select("__row", F.when(count > 0, text).otherwise(F.col("__text")).alias("__out"), count.alias("__n"))
-    same = body.where(F.coalesce(F.size("__found"), F.lit(0)) <= 0).select("__row", F.col("__text").alias("__out"), F.lit(0).alias("__n"))
+    same = body.where(~F.coalesce(suspect(F.col("__text")), F.lit(False))).select("__row", F.col("__text").alias("__out"), F.lit(0).alias("__n"))
     return changed.unionByName(same).select(*[F.col("__out").alias(n) if n == "text" else F.col(f"__row.`{n}`").alias(n) for n in names], F.col("__n").alias("n_entities"))

@@ -208,6 +208,22 @@ def test_op6(docs, none, spark, rows):
     assert op6_pii.replace_pii(docs).columns == [*docs.columns, "n_entities"]
 
 
+def test_op6_adjacent_entities(spark):
+    phone, ip, card, ssn = "+1 (826) 555-4081", "190.137.223.204", "4111 1111 1111 1111", "123-45-6789"
+    cases = [
+        (f"{phone} {ip}", [phone, ip]), (f"{ip} {phone}", [ip, phone]), (f"at {phone} 2024", [phone]), (f"+44 20 7946 0958 {ssn}", ["7946 0958", ssn]), (f"+44 20 7946 0958 {card}", ["7946 0958", card]),
+        (f"card {card} 123", [card]), ("4111111111111111 12/26", ["4111111111111111"]), (f"1234 5678 {card}", [card]), (f"1700000000000 {ip}", [ip]), (f"{card} {card[:-1]}2", [card + " "]),
+        (f"{ssn} {card} {ip}", [ssn, card, ip]), ("Mr Smith Mr Jones", ["Smith", "Jones"]), ("Mr Smith@mail.com", ["Smith", "mail"]), ("3782 822463 10005, 378282246310005", ["822463", "8282246"]), ("x" * 9, []), (phone, [phone]),
+    ]
+    out = {r.n: r for r in op6_pii.replace_pii(spark.createDataFrame([(n, t) for n, (t, _) in enumerate(cases)], "n int, text string")).collect()}
+    for n, (text, gone) in enumerate(cases):
+        assert not [g for g in gone if g in out[n].text], (text, out[n].text)
+    new = out[15].text
+    assert out[0].text.startswith(new + " ") and out[1].text.endswith(" " + new) and out[2].text == f"at {new} 2024"
+    assert out[5].text.endswith(" 123") and out[6].text.endswith(" 12/26") and out[7].text.startswith("1234 5678 ") and out[9].text.endswith(" 4111 1111 1111 1112") and out[8].text.startswith("1700000000000 ")
+    assert [out[n].n_entities for n in (0, 2, 7, 10, 11, 14)] == [2, 1, 1, 3, 2, 0]
+
+
 @pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80)])
 def test_op7(docs, rows, none, k, num):
     def grams(t):
