@@ -6,11 +6,13 @@ every digit where one may begin, so that digits that fail a check hide nothing;
 the type that stands first in PATTERNS is taken. Cards are 13 to 19 digits without a break, or groups of 4-4-4-4, 4-4-4-4-3,
 4-6-5, 4-6-4 or 4-3-3-3; a phone number ends before an address, card or social security number. Each entity has a normal form (case, spaces and marks folded), and its surrogate is made from sha2(key, type, normal form, attempt): the same
 normal form gets the same surrogate everywhere. A surrogate keeps type and format: digits stay digits, letters stay letters
-of their script and case, marks stay in place, cards stay Luhn-valid, country codes and top-level domains stay, addresses
-of one domain share their surrogate domain, octets stay octets, and names keep the gender that their title shows.
+of their script and case (ASCII letters stand for scripts without a table), marks stay in place (but for addresses of marks
+only, which get letters), cards stay Luhn-valid, country codes and top-level domains stay, addresses of one domain share their
+surrogate domain, octets stay octets, and names keep their script and the gender that their title shows.
 
 Collision check, over all entities of the table: where two entities of a type have one surrogate, or a surrogate is itself
-an entity of the table, all but the first take the next attempt, until none is left.
+an entity of the table, all but the first take the next attempt, until none is left. Names and addresses grow with the attempt, so there
+are always enough of them; numbers keep their length.
 
 Cases: null texts stay null, empty ones empty; documents without entities stay as they are; repeated rows are
 replaced alike; an empty table gives no rows; all other columns are kept, whatever their names.
@@ -29,6 +31,33 @@ FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra"]
 MALE = ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leon", "Martin", "Niels", "Oscar", "Paul"]
 FEMALE = ["Anna", "Berta", "Clara", "Diana", "Emma", "Frida", "Greta", "Helen", "Irene", "Julia", "Karin", "Laura", "Maria", "Nora", "Olga", "Paula"]
 FAMILY = ["Abel", "Bauer", "Costa", "Dupont", "Ebert", "Ferrer", "Garcia", "Hansen", "Ibsen", "Jansen", "Keller", "Lopez", "Moreau", "Novak", "Olsen", "Perez"]
+SYLLABLES = [c + v for c in "bdfghjklmnprstvz" for v in "aeiou"]
+#: Characters by script, each with lower-case letters of that script; the first that fits is taken.
+LETTERS = {
+    "[a-z]": "abcdefghijklmnopqrstuvwxyz",
+    "[à-öø-ÿß]": "àáâäèéêëìíîïòóôöùúûüñç",
+    r"[\p{IsLatin}&&\P{ASCII}]": "ăąćčďđēęěğīłńňōőřśşšťūůűźżž",
+    r"\p{IsCyrillic}": "абвгдежзийклмнопрстуфхцчшщыэюя",
+    r"\p{IsGreek}": "αβγδεζηθικλμνξοπρστυφχψω",
+    r"\p{IsArmenian}": "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտ",
+    r"\p{IsGeorgian}": "აბგდევზთიკლმნოპჟრსტუფქღყშჩცძწჭხჯჰ",
+    r"\p{IsHebrew}": "אבגדהוזחטיכלמנסעפצקרשת",
+    r"\p{IsArabic}": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي",
+    r"\p{IsDevanagari}": "अआइईउऊएकखगघचछजझटठडढणतथदधनपफबभमयरलवशषसह",
+    r"\p{IsBengali}": "অআইঈউকখগঘচছজঝটঠডঢণতথদধনপফবভমযরলশষসহ",
+    r"\p{IsGurmukhi}": "ਅਆਇਈਉਕਖਗਘਚਛਜਝਟਠਡਢਣਤਥਦਧਨਪਫਬਭਮਯਰਲਵਸਹ",
+    r"\p{IsGujarati}": "અઆઇઈઉકખગઘચછજઝટઠડઢણતથદધનપફબભમયરલવશષસહ",
+    r"\p{IsTamil}": "அஆஇஈஉஊஎஏஐகஙசஞடணதநபமயரலவழளறன",
+    r"\p{IsTelugu}": "అఆఇఈఉకఖగఘచఛజఝటఠడఢణతథదధనపఫబభమయరలవశషసహ",
+    r"\p{IsKannada}": "ಅಆಇಈಉಕಖಗಘಚಛಜಝಟಠಡಢಣತಥದಧನಪಫಬಭಮಯರಲವಶಷಸಹ",
+    r"\p{IsMalayalam}": "അആഇഈഉകഖഗഘചഛജഝടഠഡഢണതഥദധനപഫബഭമയരലവശഷസഹ",
+    r"\p{IsThai}": "กขคงจฉชซญดตถทธนบปผฝพฟภมยรลวศสหอฮ",
+    r"\p{IsHangul}": "가나다라마바사아자차카타파하고노도로모보소오조초코토포호구누두루무부수우주",
+    r"\p{IsHiragana}": "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ",
+    r"\p{IsKatakana}": "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワ",
+    r"\p{IsHan}": "安白成大德东方风高国海和华江金开兰乐林明南宁平青清仁山石水天文西小新雪阳玉元云正中子",
+    r"[\p{L}\p{M}]": "abcdefghijklmnopqrstuvwxyz",
+}
 TOPS = 64  # attempts before the checks give up; each attempt is a fresh hash
 
 TITLES = "|".join(MALE_TITLES + FEMALE_TITLES)
@@ -39,14 +68,14 @@ GROUP = rf"{NO_IP}(?!(?<![\p{{L}}\p{{N}}\-]){SSN})(?!(?<![\p{{L}}\p{{N}}.])(?:(?
 END = r"(?![\p{L}\p{N}])"
 #: By priority. A blank joins a fourth group of a phone number only where a blank joined the third.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)+",
+    "email": r"(?<![\p{L}\p{M}\p{N}._%+\-])[\p{L}\p{M}\p{N}._%+\-]++@[\p{L}\p{M}\p{N}\-]++(?:\.[\p{L}\p{M}\p{N}\-]++)+",
     "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![\p{L}\p{N}])",
     "phone": rf"(?<![\p{{L}}\p{{N}}+])(?:\+1[ .\-]?(?:\(\d{{3}}\)|\d{{3}})[ .\-]?\d{{3}}[ .\-]?\d{{4}}{END}|\+\d{{1,3}}[ .\-]?\(?{NO_IP}\d{{2,4}}\)?[ .\-]?{NO_IP}\d{{2,4}}(?:[.\-]?{GROUP}(?:[.\-]?{GROUP})?| {GROUP}(?:[ .\-]?{GROUP})?){END})|(?<![\p{{L}}\p{{N}}])\(\d{{3}}\) ?\d{{3}}[ .\-]\d{{4}}{END}",
     "ip": rf"(?<![\p{{L}}\p{{N}}.]){IP}",
     "ssn": rf"(?<![\p{{L}}\p{{N}}\-]){SSN}",
     "card": rf"(?<![\p{{L}}\p{{N}}.])(?:\d{{4}}[ \-]?){{3}}\d{{4}}{END}",
     "card of other length": rf"(?<![\p{{L}}\p{{N}}.])(?:\d{{13,19}}|(?:\d{{4}}[ \-]){{4}}\d{{1,3}}|\d{{4}}[ \-]\d{{6}}[ \-]\d{{4,5}}|\d{{4}}(?:[ \-]\d{{3}}){{3}}){END}",
-    "name": rf"(?<!\p{{L}})(?:{TITLES})\.? \p{{Lu}}\p{{L}}++(?: (?!(?:{TITLES})(?!\p{{L}}))\p{{Lu}}\p{{L}}++)?",
+    "name": rf"(?<!\p{{L}})(?:{TITLES})\.? \p{{Lu}}[\p{{L}}\p{{M}}]++(?: (?!(?:{TITLES})(?!\p{{L}}))\p{{Lu}}[\p{{L}}\p{{M}}]++)?",
 }
 ANY = "|".join(PATTERNS.values())
 SPAN = "struct<rank:int,at:int,len:int,kind:string,value:string>"
@@ -95,25 +124,36 @@ def stream(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     return F.concat(part("a"), part("b"))
 
 
-def pick(bits: Column, at: Column, n: int) -> Column:
+def pick(bits: Column, at: Column, n: int | Column) -> Column:
     """A number below n from the stream; places beyond its end go round it."""
     return (F.conv(F.substring(bits, (at * 4) % 252 + 1, F.lit(5)), 16, 10).cast("int") + at) % n
 
 
 def respell(value: Column, bits: Column) -> Column:
-    """value with letters and digits replaced, script, case and marks kept."""
-    letters = {r"[a-z]": "abcdefghijklmnopqrstuvwxyz", r"[à-öø-ÿß]": "àáâäèéêëìíîïòóôöùúûüñç", r"[а-я]": "абвгдежзийклмнопрстуфхцчшщыэюя", r"[α-ω]": "αβγδεζηθικλμνξοπρστυφχψω"}
+    """value with every letter and digit replaced by another one, script, case and marks kept."""
 
     def one(c: Column, i: Column) -> Column:
-        low, out = F.lower(c), F.when(c.rlike(r"\d"), pick(bits, i, 10).cast("string"))
-        for test, table in letters.items():
-            new = F.substring(F.lit(table), pick(bits, i, len(table)) + 1, F.lit(1))
-            out = out.when(low.rlike(f"^{test}$"), F.when(c == low, new).otherwise(F.upper(new)))
+        low, out = F.lower(c), F.when(c.rlike(r"[0-9]"), ((c.try_cast("int") + 1 + pick(bits, i, 9)) % 10).cast("string")).when(c.rlike(r"\p{N}"), pick(bits, i, 10).cast("string"))
+        for test, table in LETTERS.items():
+            others = F.replace(F.lit(table), low, F.lit(""))
+            new = F.substring(others, pick(bits, i, F.length(others)) + 1, F.lit(1))
+            out = out.when(low.rlike(f"^{test}"), F.when(c == low, new).otherwise(F.upper(new)))
         return out.otherwise(c)
 
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
+def lettered(value: Column) -> Column:
+    """value, or letters in the place of its marks where it has nothing but marks."""
+    return F.when(value.rlike(r"[\p{L}\p{N}]"), value).otherwise(F.regexp_replace(value, r"[^.]", "a"))
+
+
+def longer(value: Column, attempt: Column) -> Column:
+    """value with its last letter or digit once more for each attempt after the second."""
+    last = F.regexp_extract(value, r"([\p{L}\p{N}])[^\p{L}\p{N}]*$", 1)
+    return F.concat(value, F.repeat(F.when(last == "", "a").otherwise(last), F.greatest(attempt - 1, F.lit(0))))
+
+
 def digits_only(value: Column, bits: Column, keep: int) -> Column:
     """Digits of value replaced but for the first `keep`; for a fixed norm of digits only."""
     return F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(i < keep, c).otherwise(pick(bits, i, 10).cast("string"))), "")
@@ -125,7 +165,7 @@ def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
     local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
     top = F.regexp_extract(domain, r"\.[^.]+$", 0)
     host = F.regexp_replace(domain, r"\.[^.]+$", "")
-    email = F.concat(respell(local, bits), F.lit("@"), respell(host, stream(key, F.lit("domain"), domain, F.lit(0))), top)
+    email = F.concat(respell(longer(lettered(local), attempt), bits), F.lit("@"), respell(lettered(host), stream(key, F.lit("domain"), domain, F.lit(0))), top)
     body = F.substring(digits_only(norm, bits, 1), F.lit(1), F.length(norm) - 1)
     card = F.concat(body, ((10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
     octets = F.array_join(F.transform(F.split(norm, r"\."), lambda c, i: F.when((i == 0) & c.isin("10", "127", "192", "172"), c).otherwise((pick(bits, i, 254) + 1).cast("string"))), ".")
@@ -135,8 +175,12 @@ def surrogate(key: str, kind: Column, norm: Column, attempt: Column) -> Column:
         free = F.filter(F.array(*[F.lit(n) for n in table]), lambda n: ~F.array_contains(F.split(F.substring(norm, F.lit(3), F.length(norm)), " "), F.lower(n)))
         return free[pick(bits, F.lit(at), 1 << 20) % F.size(free)]
 
-    given = F.when(norm.startswith("m:"), names(MALE, 0)).otherwise(names(FEMALE, 1))
-    family = F.concat(names(FAMILY, 2), F.when(attempt > 0, F.lower(names(FAMILY, 3))).otherwise(""), F.when(attempt > 2, F.lower(names(FAMILY, 4))).otherwise(""))
+    latin = lambda word: word.rlike(r"^[\p{IsLatin}\p{M}]+$")
+    words = F.substring(norm, F.lit(3), F.length(norm))
+    first, last = F.substring_index(words, " ", 1), F.substring_index(words, " ", -1)
+    given = F.when(~latin(first), respell(first, stream(key, F.lit("given"), norm, attempt))).when(norm.startswith("m:"), names(MALE, 0)).otherwise(names(FEMALE, 1))
+    more = F.when(attempt > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(attempt, F.lit(1))), lambda i: F.array(*map(F.lit, SYLLABLES))[pick(bits, i + 8, len(SYLLABLES))]), "")).otherwise("")
+    family = F.when(latin(last), F.concat(names(FAMILY, 2), more)).otherwise(respell(longer(last, attempt), bits))
     name = F.when(norm.contains(" "), F.concat_ws(" ", given, family)).otherwise(family)
     secret = F.array_join(F.transform(F.split(norm, ""), lambda c, i: F.when(i < F.length(F.regexp_extract(norm, r"^(?:akia|gh[pousr]_|sk-)", 0)), c).when(norm.rlike("^[0-9a-f]+$"), F.lower(F.hex(pick(bits, i, 16)))).otherwise(respell_one(c, bits, i))), "")
     keep = F.when(kind == "phone", F.lit(1)).otherwise(F.lit(0))

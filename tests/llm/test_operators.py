@@ -224,6 +224,22 @@ def test_op6_adjacent_entities(spark):
     assert [out[n].n_entities for n in (0, 2, 7, 10, 11, 14)] == [2, 1, 1, 3, 2, 0]
 
 
+def test_op6_all_scripts_and_many_names(spark):
+    import re
+
+    mails = ["张伟@例子.公司", "张伟@example.com", "محمد@مثال.com", "हिन्दी@उदाहरण.com", "김철수@예시.kr", "ⴰⴱⴳ@x.org", "١٢@y.org", "-@-.-", "_@x.org", *(f"{c}@z.org" for c in "abcdefghijklmnopqrstuvwxyz0123456789")]
+    digit = lambda n: "".join(chr(97 + int(c)) for c in f"{n:05d}")
+    names = ["Mr Иванов", "Mrs Анна Иванова", "Ms Ζωή Παππά", *(f"Mr Q{digit(n)}" for n in range(4500))]
+    out = {r.n: r for r in op6_pii.replace_pii(spark.createDataFrame(list(enumerate(mails + names)), "n int, text string")).collect()}
+    new = [out[n].text for n in range(len(out))]
+    assert all(r.n_entities == 1 for r in out.values()) and len(set(new)) == len(new) and not set(new) & set(mails + names)
+    for old, now in zip(mails, new):
+        local, host = old.rsplit(".", 1)[0].split("@")
+        assert local not in now.split("@")[0] and host != now.rsplit(".", 1)[0].split("@")[1] and now.endswith("." + old.rsplit(".", 1)[1]), (old, now)
+    assert re.fullmatch("[一-鿿]{2,}@[一-鿿]{2}.公司", new[0]) and re.fullmatch("[ء-ي]{4,}@[ء-ي]{4}.com", new[2]) and re.fullmatch("[ऀ-ॿ]{6,}@[ऀ-ॿ]{6,}.com", new[3]) and re.fullmatch("[가-힣]{3,}@[가-힣]{2}.kr", new[4])
+    assert all(re.fullmatch("Mrs? [А-Я][а-я]+( [А-Я][а-я]+)?", x) for x in new[len(mails) : len(mails) + 2]) and re.fullmatch("Mr [A-Z][a-z]+", new[-1])
+
+
 @pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80)])
 def test_op7(docs, rows, none, k, num):
     def grams(t):
