@@ -79,7 +79,7 @@ PATTERNS = {
 }
 ANY = "|".join(PATTERNS.values())
 SPAN = "struct<rank:int,at:int,len:int,kind:string,value:string>"
-HINT = rf"[@\d]|(?:{TITLES})\.? \p{{Lu}}|[0-9a-fA-F]{{32}}"
+HINT = rf"[@\d]|(?:{TITLES})\.? \p{{Lu}}|[0-9a-fA-F]{{32}}|AKIA|gh[pousr]_|sk-"
 
 
 def luhn_sum(digits: Column) -> Column:

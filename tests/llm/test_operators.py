@@ -240,6 +240,16 @@ def test_op6_all_scripts_and_many_names(spark):
     assert all(re.fullmatch("Mrs? [А-Я][а-я]+( [А-Я][а-я]+)?", x) for x in new[len(mails) : len(mails) + 2]) and re.fullmatch("Mr [A-Z][a-z]+", new[-1])
 
 
+def test_op6_every_match_implies_the_hint(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    secrets = [f"key sk-{letters} end", "AKIA" + letters[:16].upper(), *(f"gh{c}_{letters}{letters[:10]}" for c in "pousr"), "ab" * 16, "AB" * 16]
+    texts = [*secrets, "a@b.cd", "+49 30 1234 567", "1.2.3.4", "123-45-6789", "4111111111111111", *(f"{x} Abc" for x in op6_pii.TITLES.split("|")), *(f"{x}. Abc" for x in op6_pii.TITLES.split("|"))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert df.where(F.col("text").rlike(op6_pii.ANY) & F.col("text").rlike(op6_pii.HINT)).count() == len(texts)
+    out = [r.text for r in op6_pii.replace_pii(df.limit(len(secrets))).collect()]
+    assert not set(out) & set(texts) and len(set(out)) == len(secrets)
+
+
 @pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80)])
 def test_op7(docs, rows, none, k, num):
     def grams(t):
