@@ -2,8 +2,8 @@
 
 Records are ordered by (hash of the text, doc_id), so equal texts stand together. A size-weighted Poisson sample of
 the hashes gives quantile boundaries; records are range-partitioned by them; ranges that still hold too much are
-subdivided (a hash that alone fills a range, i.e. a hot group of copies, by its doc_ids); the measured sizes of the
-ranges give every record its exact place in the order, and so its shard and slot.
+subdivided, and a hash that alone fills half a range, i.e. a hot group of copies, stands behind the rest of its range in
+consecutive parts of its own, dealt by doc_id; the measured sizes of the parts give every record its exact place in the order, and so its shard and slot.
 
 Law `bytes`: shard k takes the k-th of `shards` equal parts of the summed sizes. A group of equal texts that is no
 larger than `snap` of a shard stays in one shard; larger groups are cut where the law asks for it.
@@ -14,6 +14,9 @@ slot of their own; an empty table gives no rows; other columns are neither read
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import defaultdict
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,18 +48,26 @@ def assign_shards(docs: DataFrame, shards: int = 8, rows_per_range: int = 20_000
     bounds = splitters(keys, total, ranges, oversample)
     full = total / ranges
     # At most 2 * ranges hashes can each hold half a range.
-    hot = [r[0] for r in keys.groupBy("h").agg(F.sum("size").alias("s"), F.count("*").alias("n")).where((F.col("s") > full / 2) & (F.col("n") > 1)).collect()]
-    keys = keys.withColumn("range", range_of(F.col("h"), bounds))
-    sums = dict(keys.groupBy("range").agg(F.sum("size")).collect())
-    pieces = [max(1, round(sums.get(r, 0) / full)) for r in range(len(bounds) + 1)]
-    first = [0]
-    for p in pieces:
-        first.append(first[-1] + p)
-    salt = F.when(F.col("h").isin(hot), uniform(F.lit("piece"), "doc_id")).otherwise(uniform(F.lit("piece"), "h")) if hot else uniform(F.lit("piece"), "h")
-    keys = keys.withColumn("part", pack_array(first)[F.col("range")] + F.floor(salt * pack_array(pieces)[F.col("range")]).cast("int"))
-    at, row_at, offset, row_offset = 0, 0, [0] * (first[-1] + 1), [0] * (first[-1] + 1)
+    hot = sorted(map(tuple, keys.groupBy("h").agg(F.sum("size").alias("s"), F.count("*").alias("n")).where((F.col("s") > full / 2) & (F.col("n") > 1)).select("h", "s").collect()))
+    sums = dict(keys.withColumn("range", range_of(F.col("h"), bounds)).groupBy("range").agg(F.sum("size")).collect())
+    groups = defaultdict(list)
+    for h, s in hot:
+        groups[bisect_right(bounds, h)].append((h, s))
+    first, pieces, own, parts = [], [], [], 0
+    for r in range(len(bounds) + 1):
+        first.append(parts)
+        pieces.append(max(1, round((sums.get(r, 0) - sum(s for _, s in groups[r])) / full)))
+        parts += pieces[-1]
+        for h, s in groups[r]:
+            own.append((h, s, parts, max(1, round(s / full))))
+            parts += own[-1][3]
+    known = spark.createDataFrame(own, "hot long, hot_size long, hot_first int, hot_parts int")
+    keys = keys.join(F.broadcast(known), F.col("h") == F.col("hot"), "left").withColumn("range", range_of(F.col("h"), bounds))
+    rest = pack_array(first)[F.col("range")] + F.floor(uniform(F.lit("piece"), "h") * pack_array(pieces)[F.col("range")]).cast("int")
+    keys = keys.withColumn("part", F.when(F.col("hot").isNull(), rest).otherwise(F.col("hot_first") + F.floor(uniform(F.lit("piece"), "doc_id") * F.col("hot_parts")).cast("int")))
+    at, row_at, offset, row_offset = 0, 0, [0] * (parts + 1), [0] * (parts + 1)
     measured = {r[0]: r[1:] for r in keys.groupBy("part").agg(F.sum("size"), F.count("*")).collect()}
-    for p in range(first[-1]):
+    for p in range(parts):
         offset[p], row_offset[p] = at, row_at
         s, n = measured.get(p, (0, 0))
         at, row_at = at + s, row_at + n
@@ -64,8 +75,9 @@ def assign_shards(docs: DataFrame, shards: int = 8, rows_per_range: int = 20_000
     group = Window.partitionBy("part", "h")
     placed = keys.select("*", F.row_number().over(order).alias("row"), (F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("before"))
     placed = placed.select("*", F.min("before").over(group).alias("group_before"), F.sum("size").over(group).alias("group_size"))
-    middle = F.when(F.col("group_size") <= snap * total / shards, F.col("group_before") + F.col("group_size") / 2).otherwise(F.col("before") + F.col("size") / 2)
+    middle = F.when(F.col("hot").isNull() & (F.col("group_size") <= snap * total / shards), F.col("group_before") + F.col("group_size") / 2).otherwise(F.col("before") + F.col("size") / 2)
     middle = pack_array(offset)[F.col("part")] + middle
+    middle = F.when(F.col("hot_size") <= snap * total / shards, pack_array(offset)[F.col("hot_first")] + F.col("hot_size") / 2).otherwise(middle)
     shard = F.least(F.lit(shards - 1), F.floor(middle * shards / F.lit(float(total)))).cast("int")
     out = staged(placed.select("doc_id", "size", "text_crc32", shard.alias("shard"), (pack_array(row_offset)[F.col("part")].cast("long") + F.col("row") - 1).alias("place")), "shards")
     starts = dict(out.groupBy("shard").agg(F.min("place")).collect())

@@ -341,6 +341,18 @@ def test_op9(docs, rows, none, spark, tmp_path):
     assert op9_sharding.assign_shards(none).count() == 0
 
 
+def test_op9_keeps_small_groups_whole_in_many_ranges(spark):
+    copies = spark.range(3996).select(F.col("id").alias("doc_id"), F.concat(F.lit("text of group "), F.lpad((F.col("id") % 444).cast("string"), 3, "0")).alias("text"))
+    out = op9_sharding.assign_shards(copies, rows_per_range=2).collect()
+    found = collections.defaultdict(set)
+    for r in out:
+        found[r.text_crc32].add(r.shard)
+    assert len(out) == 3996 and len(found) == 444 and all(len(s) == 1 for s in found.values())
+    for shard in range(8):
+        slots = sorted(r.slot for r in out if r.shard == shard)
+        assert slots == list(range(len(slots))) and abs(len(slots) - 3996 / 8) < 12
+
+
 def test_op10(spark, none, docs, rows):
     d, labels = (spark.read.parquet(f"{DATA}/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     out = op10_quality.quality_report(d, labels).join(labels, "doc_id").where("held_out").collect()
