@@ -1,22 +1,24 @@
 """Canonical exact digest, with DataFrame and SQL functions only.
 
 Canonical form: NFKC, full case folding, NFKC again, runs of white space folded to one space, ends trimmed. The two
-Unicode steps call ICU, which ships with Spark, through SQL's `reflect`. Digest: two chained 64-bit xxhashes of the canonical
-bytes. Inside equal digests the canonical bytes are compared (least = greatest text of a bucket, with map-side
-combination, so a hot bucket costs one text a task); a bucket with different texts gets a suffix, sha2 of the text.
+Unicode steps call ICU, which ships in Spark's jars, through SQL's `reflect`; without these classes `require_icu` stops at once.
+Digest: two chained 64-bit xxhashes of the canonical bytes. Buckets are counted by their digests first; only texts of buckets
+of two rows or more move, and there the canonical bytes are compared (least = greatest text of a bucket, with map-side
+combination, so a hot bucket costs two texts a task); a bucket with different texts gets a suffix, sha2 of the text.
 
-Cases: null and empty texts have the canonical form ''; repeated rows count as documents of their own; ties of doc_id are
+Cases: a column of docs named fingerprint is replaced, all others are kept, whatever their names; null and empty texts have the canonical form ''; repeated rows count as documents of their own; ties of doc_id are
 ordered by text; a null doc_id comes last in descending order; the next document of an only document is itself; an empty
 table gives no rows; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import range_of, staged, wide_key
 
+SMALL = 500_000
 SPACE = r"[\s\p{Z}]+"
 NORMAL, CASE = "com.ibm.icu.text.Normalizer", "com.ibm.icu.lang.UCharacter"
 
@@ -32,10 +34,24 @@ def digest(h1: Column, h2: Column) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(h1), 16, "0"), F.lpad(F.hex(h2), 16, "0")))
 
 
-def clashes(texts: DataFrame) -> DataFrame:
-    """Buckets (h1, h2) of the column canon that hold different texts: none, but for an accident or an attack."""
+def require_icu(spark: SparkSession) -> None:
+    try:
+        for name in (NORMAL, CASE):
+            spark.sparkContext._jvm.java.lang.Class.forName(name)
+    except Exception as e:
+        raise RuntimeError("canonical digests need ICU4J (com.ibm.icu), which this Spark does not have on its class path") from e
+
+
+def clashes(docs: DataFrame, digests: DataFrame) -> DataFrame:
+    """Buckets (h1, h2) of the documents' digests (h1, h2) that hold different texts: none, but for an accident or an attack."""
+    several = digests.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h1").alias("s1"), F.col("h2").alias("s2"))
+    several = staged(several, "buckets")
+    if several.count() <= SMALL:  # 16 bytes a row; larger tables are joined by shuffle
+        several = F.broadcast(several)
     h1, h2 = wide_key(F.col("canon"))
-    low = texts.select("canon", h1.alias("h1"), h2.alias("h2")).groupBy("h1", "h2").agg(F.min("canon").alias("low"), F.max("canon").alias("high"))
+    texts = docs.select(canonical(F.col("text")).alias("canon")).select("canon", h1.alias("h1"), h2.alias("h2"))
+    texts = texts.join(several, (F.col("h1") == F.col("s1")) & (F.col("h2") == F.col("s2")), "left_semi")
+    low = texts.groupBy("h1", "h2").agg(F.min("canon").alias("low"), F.max("canon").alias("high"))
     return low.where("low <> high").select("h1", "h2")
 
 
@@ -47,11 +63,13 @@ def settle(rows: DataFrame, odd: DataFrame, h1: str, h2: str, sha: Column, name:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """General interface: docs plus column fingerprint; equal fingerprints if and only if equal canonical texts."""
-    canon = docs.withColumn("__canon", canonical(F.col("text")))
+    require_icu(docs.sparkSession)
+    names = [n for n in docs.columns if n != "fingerprint"]
+    rows = docs.select(F.struct("*").alias("__row"), canonical(F.col("text")).alias("__canon"))
     h1, h2 = wide_key(F.col("__canon"))
-    rows = canon.withColumns({"__h1": h1, "__h2": h2})
-    odd = clashes(docs.select(canonical(F.col("text")).alias("canon")))
-    return settle(rows, odd, "__h1", "__h2", F.sha2("__canon", 256), "fingerprint").drop("__canon", "__h1", "__h2")
+    rows = rows.withColumns({"__h1": h1, "__h2": h2})
+    odd = clashes(docs, rows.select(F.col("__h1").alias("h1"), F.col("__h2").alias("h2")))
+    return settle(rows, odd, "__h1", "__h2", F.sha2("__canon", 256), "__print").select(*[F.col(f"__row.`{n}`").alias(n) for n in names], F.col("__print").alias("fingerprint"))
 
 
 def with_next(docs: DataFrame, rows_per_range: int = 2048, max_ranges: int = 20_000) -> DataFrame:
@@ -88,19 +106,20 @@ def with_next(docs: DataFrame, rows_per_range: int = 2048, max_ranges: int = 20_
 
 def edited_report(docs: DataFrame) -> DataFrame:
     """The query's rows: fingerprints of each text and of its edited text, and likeness 1.0 (equal digests and bytes) or 0.0."""
+    require_icu(docs.sparkSession)
     n, half = F.char_length("text"), F.floor(F.char_length("text") / 2).cast("int")
     rows = with_next(docs).withColumn("edited", F.concat(F.expr("substring(text, 1, char_length(text) - int(floor(char_length(text) / 2)))"), F.substring(F.col("next_text"), F.lit(1), half)))
     rows = rows.withColumn("edited_canon", canonical(F.col("edited")))
     e1, e2 = wide_key(F.col("edited_canon"))
     same = lambda a, b, other: F.when((F.col("h1") == a) & (F.col("h2") == b), (canonical(F.col("text")) == other).cast("double")).otherwise(F.lit(0.0))
-    sha = F.when(F.lit(True), F.sha2("edited", 256))
     rows = rows.withColumns({"e1": e1, "e2": e2})
-    out = staged(rows.select("doc_id", n.cast("long").alias("n_chars"), sha.alias("edited_sha256"), "h1", "h2", "e1", "e2", same(F.col("e1"), F.col("e2"), F.col("edited_canon")).alias("near_edited"), same(F.col("next_h1"), F.col("next_h2"), canonical(F.col("next_text"))).alias("near_next")), "digests")
-    odd = staged(clashes(docs.select(canonical(F.col("text")).alias("canon"))), "clashes")
+    near = {"near_edited": same(F.col("e1"), F.col("e2"), F.col("edited_canon")), "near_next": same(F.col("next_h1"), F.col("next_h2"), canonical(F.col("next_text")))}
+    report = [F.col("doc_id"), n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), *map(F.col, ("h1", "h2", "e1", "e2")), *[c.alias(name) for name, c in near.items()]]
+    out = staged(rows.select(*report), "digests")
+    odd = staged(clashes(docs, out.select("h1", "h2")), "clashes")
     if not odd.isEmpty():
-        # A clash: the suffix needs the texts again.
-        text_sha = rows.select("doc_id", "h1", "h2", F.sha2(canonical(F.col("text")), 256).alias("s"), F.sha2("edited_canon", 256).alias("es"), "e1", "e2", F.sha2("edited", 256).alias("edited_sha256")).distinct()
-        out = out.join(text_sha, ["doc_id", "h1", "h2", "e1", "e2", "edited_sha256"])
+        # The suffix needs the texts again; an edited text has one where its digest is that of a bucket of different texts.
+        out = staged(rows.select(*report, F.sha2(canonical(F.col("text")), 256).alias("s"), F.sha2("edited_canon", 256).alias("es")), "digests")
         out = settle(settle(out, odd, "h1", "h2", F.col("s"), "fingerprint"), odd, "e1", "e2", F.col("es"), "edited_fingerprint")
     else:
         out = out.withColumns({"fingerprint": digest(F.col("h1"), F.col("h2")), "edited_fingerprint": digest(F.col("e1"), F.col("e2"))})
