@@ -18,12 +18,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset and all runs on one machine, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = jdir.get() if jdir.isDefined() else None
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="netloom-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -43,19 +45,46 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def write_file(spark: SparkSession, path: str, text: str) -> None:
+    """A new file below the shared folder; it has its name only once it is whole."""
+    where, part = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.part"))
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(part, where):
+        raise OSError(f"could not write {path}")
+
+
+def last_file(spark: SparkSession, folder: str, prefix: str) -> str | None:
+    """The text of the whole file in folder whose name begins with prefix and is greatest."""
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted(s.getPath().toString() for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}/{prefix}*")) or [])
+    found = [f for f in found if not f.endswith(".part")]
+    if not found:
+        return None
+    data = fs.open(jvm.org.apache.hadoop.fs.Path(found[-1]))
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(data, "UTF-8")
+    finally:
+        data.close()
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files of plans that nothing refers to any more."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read back: cuts lineage, survives lost executors."""
+def staged(df: DataFrame, label: str, free: bool = True) -> DataFrame:
+    """df written to the shared folder and read back: cuts lineage, survives lost executors; free: its shuffle files go at once."""
     spark, schema = df.sparkSession, df.schema
     path = scratch_path(spark, label)
     df.write.parquet(path)
     del df
-    release(spark)
+    if free:
+        release(spark)
     out = spark.read.schema(schema).parquet(path)
     out.staged_path = path
     return out
@@ -143,8 +172,9 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     Self-loops and repeated edges are allowed; ids that no edge between different ids names do not come back.
     """
     spark = edges.sparkSession
-    cut = lambda df: staged(df, label)
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    cut = lambda df: staged(df, label, free=False)
+    mark = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+    now, last = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -153,11 +183,10 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         tied = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         small = cut(tied.select("e.a", "e.b").where("a <> b").distinct())
-        mark = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        done = mark(small) == mark(now)
+        before, last = last, mark(small)
         unstage(now, large)
         now = small
-        if done:
+        if last == before or not last[0]:
             break
     release(spark)
     return now.select(F.col("a").alias("id"), F.col("b").alias("root")).union(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())

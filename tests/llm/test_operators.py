@@ -73,6 +73,42 @@ def test_op1(docs, rows, none):
     assert op1_substring.dedup(none).count() == 0
 
 
+def test_op1_index_takes_batch_after_batch(docs, rows, spark, tmp_path):
+    """Three batches into an index that is opened anew each time: each is judged against all that came before it."""
+    schema, path, before = "doc_id long, text string", f"file://{tmp_path}/index", []
+    for k, part in enumerate((rows[:31], rows[31:38], rows[38:])):
+        index = op1_substring.FingerprintIndex(spark, path)
+        assert len(index.runs) == min(k, 1) and index.state["made"] == (0, 1, 3)[k]
+        seen = spark.createDataFrame(before, schema) if before else None
+        got = by(op1_substring.dedup(spark.createDataFrame(part, schema), batches=1, index=index, seen=seen), "doc_id", "n_words", "n_removed", "kept_sha256")
+        both = before + part
+        split = [(t or "").encode().split() for _, t in both]
+        count = collections.Counter(tuple(w[i : i + 35]) for w in split for i in range(len(w) - 34))
+        want = []
+        for (d, _), w in list(zip(both, split))[len(before) :]:
+            gone = [False] * len(w)
+            for i in range(len(w) - 34):
+                if count[tuple(w[i : i + 35])] > 1:
+                    gone[i : i + 35] = [True] * 35
+            want.append((d, len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest()))
+        assert got == sorted(want, key=str)
+        before = both
+    index = op1_substring.FingerprintIndex(spark, path)
+    held = {r.hash: r.n for r in index.run(index.runs[0]).collect()}
+    texts = {t for _, t in rows if t}
+    plain = collections.Counter()
+    for part in (rows[:31], rows[31:38], rows[38:]):
+        for t in {t or "" for _, t in part}:
+            values, n = op1_substring.minimizers(op1_substring.hashes(t.encode().split()), 35, 8)
+            plain.update({int(v): 1 + int(c > 1) for v, c in zip(values.view(np.int64), n)})
+    assert held == dict(plain) and texts
+    repeated = index.ingest(spark.createDataFrame([(h, 1) for h in list(held)[:3]] + [(5, 1), (6, 2)], "hash long, n long"))
+    assert {r.hash for r in repeated.collect()} == {*list(held)[:3], 6}
+    plan = index.run(index.runs[0]).join(index.run(index.runs[0]).hint("merge"), "hash")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    index.drop()
+
+
 def test_op2(docs, rows, none):
     out = op2_mixing.mix(docs).collect()
     again = op2_mixing.mix(docs.repartition(3)).collect()
@@ -107,6 +143,26 @@ def test_op3(docs, rows, none, spark):
     assert op3_fingerprint.edited_report(none).count() == 0
 
 
+def test_op3_compares_bytes_inside_equal_buckets(spark, docs, rows, none, monkeypatch):
+    plain = {(r.doc_id, r.text): r.fingerprint for r in op3_fingerprint.fingerprints(docs).collect()}
+    report = by(op3_fingerprint.edited_report(docs), "doc_id", "n_chars", "edited_sha256")
+    monkeypatch.setattr(op3_fingerprint, "wide_key", lambda c: (F.length(c).cast("long") % 2, F.lit(7).cast("long")))
+    clashing = op3_fingerprint.fingerprints(docs.withColumn("fingerprint", F.lit("old")))
+    assert clashing.columns == [*docs.columns, "fingerprint"]
+    odd = {(r.doc_id, r.text): r.fingerprint for r in clashing.collect()}
+    assert len(odd) == len(plain) and all((odd[a] == odd[b]) == (plain[a] == plain[b]) for a in odd for b in odd)
+    out = op3_fingerprint.edited_report(docs)
+    assert by(out, "doc_id", "n_chars", "edited_sha256") == report
+    texts = collections.defaultdict(list)
+    for k, t in rows:
+        texts[k].append(t or "")
+    prints = {}
+    for r in out.collect():
+        prints.setdefault(r.fingerprint, set()).update(x.lower().strip() for x in texts[r.doc_id] if len(texts[r.doc_id]) == 1)
+    assert all(len({" ".join(x.split()) for x in v}) <= 1 for v in prints.values())
+    assert all(r.fingerprint.count("-") == 1 and len(r.fingerprint) == 97 for r in out.collect())
+
+
 def test_op4(docs, rows, none, spark, tmp_path):
     got = {}
     for r in op4_media.media_report(docs).collect():
