@@ -1,11 +1,12 @@
 """Mixing sources to target weights by Pareto order sampling, with DataFrame functions only.
 
 Each source's target gives its documents one inclusion rate r = target / size. floor(r) whole copies are certain; the
-rest f = r - floor(r) is an inclusion probability, tilted by an optional weight column. Documents are ranked by
-(u / (1 - u)) / (f / (1 - f)), u uniform from a hash of the document, and taken in this order until the words of the
-sample reach the source's remainder: the sample's size is fixed in words, so a source misses its target by half a
-document at most. The boundary is found by histogram: words per (source, 4096th of the rank scale), then the exact
-order in the one bucket that holds it, so that no task ever gathers a source.
+rest f = r - floor(r) is an inclusion probability, unequal between sources and, by an optional weight column, within them.
+Documents are ranked by (u / (1 - u)) / (f / (1 - f)), u uniform from a hash of the document, and taken in this order while
+the words of the sample stay within the source's remainder. A document too large for what is left is passed over, and later
+ones fill the gap, in PASSES passes of the same kind; last, the one document that brings the source nearest to its target
+may join. The sample's size is so fixed in words. A prefix is found by histogram: words per (source, bucket of the rank
+scale), then the exact order in the one bucket where it ends, so that no task ever gathers a source; the driver holds sums per source only.
 
 Cases: null and empty texts have size 0 (they take 0 words and count as included or not like others); a null source is a
 source of its own, last in order; repeated rows share u and are ordered beside each other; an empty table gives no rows;
@@ -17,11 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged, uniform
+from ..functions.rng import uniform
+from .common import WORD, staged, unstage
 
-COLUMNS = "doc_id long, size long, source_size long, target double, taken long, copies int"
-BUCKETS = 4096
 SMALL = 50_000
+PASSES = 3
+ORDER = ("rank", "doc_id", "size")
 
 
 def share_out(sizes: list[int], weights: list[float], cap: float = 3.0) -> list[float]:
@@ -48,6 +50,28 @@ def targets(sized: DataFrame, weights: tuple[float, ...], cap: float) -> DataFra
     return F.broadcast(table) if len(found) <= SMALL else table
 
 
+def small(table: DataFrame) -> DataFrame:
+    """A table of a row for each source, broadcast where its size is bounded."""
+    return F.broadcast(table) if table.count() <= SMALL else table
+
+
+def fill(rated: DataFrame, gaps: DataFrame) -> DataFrame:
+    """rated (source, size, rank, bucket, extra, ...) with extra = 1 for the longest run, in ORDER, of rows that fit into the gap; gaps (to, gap)."""
+    joined = rated.join(gaps, F.col("source").eqNullSafe(F.col("to")), "left").drop("to")
+    joined = joined.withColumn("fits", (F.col("extra") == 0) & (F.col("gap") > 0) & (F.col("size") <= F.col("gap")) & (F.col("bucket") >= 0))
+    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    counted = joined.where("fits").groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("gap").alias("gap")).withColumn("end", F.sum("words").over(upto))
+    edge = counted.where("end > gap").groupBy("source").agg(F.min(F.struct("bucket", (F.col("end") - F.col("words")).alias("begin"))).alias("e"))
+    edge = edge.join(gaps, F.col("source").eqNullSafe(F.col("to")), "right")  # a row for each source
+    edge = small(staged(edge.select("to", F.col("e.bucket").alias("edge"), F.col("e.begin").alias("begin")), "mix-edge"))
+    joined = joined.join(edge, F.col("source").eqNullSafe(F.col("to")), "left").drop("to")
+    inside = Window.partitionBy("source", "bucket").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    at_edge = F.col("fits") & (F.col("bucket") == F.col("edge"))
+    border = joined.where(at_edge).withColumn("new", F.col("begin") + F.sum("size").over(inside) <= F.col("gap"))
+    rest = joined.where(~F.coalesce(at_edge, F.lit(False))).withColumn("new", F.col("fits") & (F.col("edge").isNull() | (F.col("bucket") < F.col("edge"))))
+    return border.unionByName(rest).withColumn("extra", F.when(F.col("new"), 1).otherwise(F.col("extra"))).select(rated.columns)
+
+
 def decide(sized: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap: float = 3.0, seed: str = "mix", tilt: Column | None = None) -> DataFrame:
     """sized (with columns doc_id, source, size) plus source_size, target and copies."""
     table = targets(sized, weights, cap).withColumnRenamed("source", "to")
@@ -55,22 +79,29 @@ def decide(sized: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), cap:
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rated = rated.withColumn("base", F.floor(rate + 1e-12).cast("int")).withColumn("rest", F.greatest(F.lit(0.0), rate - F.floor(rate + 1e-12)))
     tilted = F.least(F.lit(1 - 1e-9), F.col("rest") * (tilt if tilt is not None else F.lit(1.0)))
-    u = uniform(F.lit(seed), "doc_id", "size")
-    rank = F.when(tilted <= 0, F.lit(float("inf"))).otherwise(u * (1 - tilted) / ((1 - u) * tilted))
-    rated = rated.withColumn("rank", rank).withColumn("bucket", F.when(F.col("rank") == float("inf"), BUCKETS).otherwise(F.floor(F.col("rank") / (1 + F.col("rank")) * BUCKETS)).cast("int"))
+    u = uniform(seed, "doc_id", "size")
+    buckets = max(64, sized.count() // 20_000)
+    rated = rated.withColumn("rank", F.when(tilted > 0, u * (1 - tilted) / ((1 - u) * tilted)))
+    # Documents without a chance have no rank and no bucket.
+    rated = rated.withColumns({"bucket": F.coalesce(F.floor(F.col("rank") / (1 + F.col("rank")) * buckets).cast("int"), F.lit(-1)), "extra": F.lit(0), "row": F.monotonically_increasing_id()})
     rated = staged(rated, "mix-ranked")
-    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    counted = rated.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("target").alias("target"), F.first("base").alias("base"), F.first("source_size").alias("full"))
-    counted = counted.withColumn("end", F.sum("words").over(upto)).withColumn("need", F.col("target") - F.col("base") * F.col("full"))
-    edge = counted.where((F.col("end") - F.col("words") < F.col("need")) & (F.col("need") > 0)).groupBy("source").agg(F.max(F.struct("bucket", (F.col("end") - F.col("words")).alias("begin"), "need")).alias("e"))
-    edge = edge.select(F.col("source").alias("to"), F.col("e.bucket").alias("edge"), F.col("e.begin").alias("begin"), F.col("e.need").alias("need"))
-    if edge.count() <= SMALL:
-        edge = F.broadcast(edge)
-    joined = rated.join(edge, F.col("source").eqNullSafe(F.col("to")), "left").drop("to")
-    inside = Window.partitionBy("source", "bucket").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    border = joined.where("bucket = edge").withColumn("upto", F.col("begin") + F.sum("size").over(inside)).withColumn("extra", (F.col("upto") - F.col("size") / 2 <= F.col("need")).cast("int"))
-    rest = joined.where("edge is null or bucket <> edge").withColumn("upto", F.lit(None).cast("long")).withColumn("extra", F.coalesce(F.col("bucket") < F.col("edge"), F.lit(False)).cast("int"))
-    return border.unionByName(rest).withColumn("copies", F.col("base") + F.col("extra"))
+
+    def gaps() -> DataFrame:
+        per = rated.groupBy("source").agg((F.first("target") - F.first("base") * F.first("source_size") - F.sum(F.col("extra") * F.col("size"))).alias("gap"))
+        return staged(per.withColumnRenamed("source", "to"), "mix-gaps")
+
+    for _ in range(PASSES):
+        left = gaps()
+        done, rated = rated, staged(fill(rated, small(left)), "mix-filled")
+        unstage(done, left)
+    left = gaps()
+    away = F.abs(F.col("size") - F.col("gap"))
+    last = rated.where("extra = 0 and bucket >= 0").join(small(left), F.col("source").eqNullSafe(F.col("to"))).where((F.col("gap") > 0) & (away < F.col("gap")))
+    last = last.groupBy(F.col("to").alias("s")).agg(F.min(F.struct(away.alias("away"), *ORDER, "row")).alias("x"))
+    last = left.join(last, F.col("to").eqNullSafe(F.col("s")), "left").select("to", F.col("x.row").alias("chosen"))
+    last = small(staged(last, "mix-last"))
+    rated = rated.join(last, F.col("source").eqNullSafe(F.col("to")), "left").withColumn("extra", F.when(F.col("row") == F.col("chosen"), 1).otherwise(F.col("extra")))
+    return rated.withColumn("copies", F.col("base") + F.col("extra"))
 
 
 def sizes(docs: DataFrame) -> Column:
