@@ -413,8 +413,8 @@ def hmm_emission_ll(spark, d):
     return emissions(spark)
 
 
-def forward_fold(spark, beam: bool):
-    """The forward recursion as a fold over one array of emissions a chain; states are few."""
+def forward_fold(spark, beam: int = 0):
+    """The forward recursion as a fold over one array of emissions a chain; states are few. With a beam, each step goes on from the best state among so many."""
     stay, move = 0.8, 0.1
     lists = emissions(spark).groupBy("t").agg(F.array_sort(F.collect_list(F.struct("regime", "ll"))).alias("e")).agg(F.array_sort(F.collect_list(F.struct("t", "e"))).alias("steps"))
 
@@ -424,7 +424,11 @@ def forward_fold(spark, beam: bool):
 
     def step(acc, at):
         def state(e, k):
-            terms = F.transform(acc["now"], lambda v, i: v + F.log(F.when(i == k, stay).otherwise(move)))
+            now = acc["now"]
+            worst = F.element_at(F.array_sort(now), -beam) if beam else None
+            terms = F.transform(now, lambda v, i: v + F.log(F.when(i == k, stay).otherwise(move)))
+            if beam:
+                terms = F.transform(F.filter(F.arrays_zip(now.alias("v"), terms.alias("w")), lambda x: x["v"] >= worst), lambda x: x["w"])
             top = F.array_max(terms)
             best = top if beam else top + F.log(F.aggregate(terms, F.lit(0.0), lambda s, w: s + F.exp(w - top)))
             return e["ll"] + best
@@ -447,18 +451,39 @@ TERM = "(list_transform([1,2,3], lambda i: f.a[i]+ln(CASE WHEN i=k THEN 0.8::DOU
 
 @query("t regime", "alpha", forward_sql(f"ln(list_sum(list_transform({TERM}, lambda v: exp(v))))"), "thm", "am", "bm")
 def hmm_forward(spark, d):
-    return forward_fold(spark, False)
+    return forward_fold(spark)
 
 
-@query("t regime", "alpha", forward_sql(f"list_max({TERM})"), "thm", "am", "bm")
+BEST = "(list_transform(list_filter([1,2,3], lambda i: f.a[i]>=list_reverse_sort(f.a)[2]), lambda i: f.a[i]+ln(CASE WHEN i=k THEN 0.8::DOUBLE ELSE 0.1::DOUBLE END)))"
+
+
+@query("t regime", "alpha", forward_sql(f"list_max({BEST})"), "thm", "am", "bm")
 def hmm_beam_forward(spark, d):
-    return forward_fold(spark, True)
+    return forward_fold(spark, beam=2)
+
 
+WEIGHT = "list_transform([1,2,3], lambda k: exp(al.a[k])*CASE WHEN b.regime=0 THEN 1.0::DOUBLE WHEN b.regime=k THEN 0.8::DOUBLE ELSE 0.1::DOUBLE END)"
+BACKWARD = f"""SELECT draw,t,regime FROM (WITH RECURSIVE al AS MATERIALIZED (SELECT t,list(alpha ORDER BY regime) a FROM ({forward_sql(f"ln(list_sum(list_transform({TERM}, lambda v: exp(v))))")}) GROUP BY t),
+b AS (SELECT draw,(SELECT max(t)+1 FROM al) t,0 regime FROM {fx.sr("draw", fx.DRAWS)} UNION ALL SELECT draw,t,least(3,1+(w[1]<u*(w[1]+w[2]+w[3]))::INT+(w[1]+w[2]<u*(w[1]+w[2]+w[3]))::INT) regime FROM (
+SELECT b.draw,al.t,{WEIGHT} w,{su("backward", "b.draw", "al.t")} u FROM b JOIN al ON al.t=b.t-1)) SELECT * FROM b WHERE regime>0)"""
 
-@query("draw h regime", "")
+
+@query("draw t regime", "", BACKWARD, "thm", "am", "bm")
 def hmm_backward(spark, d):
-    trans = fx.grid(spark, draw=fx.DRAWS, **{"from": 3, "to": 3}).withColumn("p", F.when(F.col("from") == F.col("to"), 0.8).otherwise(0.1))
-    return predict.regime_path(trans, 10)
+    """Regimes of each draw, sampled from the last time to the first by forward probability times transition."""
+    alpha = forward_fold(spark).groupBy("t").agg(F.array_sort(F.collect_list(F.struct("regime", "alpha"))).alias("a"))
+    steps = alpha.agg(F.reverse(F.array_sort(F.collect_list(F.struct("t", F.expr("transform(a, x -> exp(x.alpha))").alias("p"))))).alias("steps"))
+
+    def step(acc, x):
+        w = F.transform(x["p"], lambda p, k: p * F.when(acc["regime"] == 0, 1.0).when(acc["regime"] == k + 1, 0.8).otherwise(0.1))
+        need = uniform("backward", "draw", x["t"]) * F.aggregate(w, F.lit(0.0), lambda s, v: s + v)
+        n = F.aggregate(w, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")), lambda s, v: F.struct((s["sum"] + v).alias("sum"), (s["n"] + (s["sum"] + v < need).cast("int")).alias("n")))["n"]
+        now = F.least(F.size(w), n + 1)
+        return F.struct(now.alias("regime"), F.concat(acc["path"], F.array(F.struct(x["t"].alias("t"), now.alias("regime")))).alias("path"))
+
+    start = F.struct(F.lit(0).alias("regime"), F.expr("cast(array() as array<struct<t:int,regime:int>>)").alias("path"))
+    rows = fx.ids(spark, "draw", fx.DRAWS).join(F.broadcast(steps))  # one row, an array of times
+    return rows.select("draw", F.explode(F.aggregate("steps", start, step, lambda s: s["path"])).alias("x")).select("draw", "x.t", "x.regime")
 
 
 SIM = "SELECT a.t t1,b.t t2,coalesce((avg(a.y*b.y)-avg(a.y)*avg(b.y))/nullif(sqrt(var_pop(a.y)*var_pop(b.y)),0),0) sim FROM thm a JOIN thm b ON a.i=b.i AND a.j=b.j AND a.rel=b.rel AND a.t<b.t GROUP BY ALL"

@@ -39,3 +39,13 @@ def test_twin(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_rows(spark, name):
     assert catalog.queries()[name](spark, str(SF)).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
+def test_rows_are_evaluated(spark, name):
+    """Every column of every row is computed; no number is infinite, and none is missing but those of actors with themselves."""
+    df = catalog.queries()[name](spark, str(SF)).toPandas()
+    numbers = df.select_dtypes("number")
+    if {"i", "j", "y"} <= set(df.columns):
+        numbers = numbers[df["i"] != df["j"]]
+    assert len(numbers) > 0 and bool((numbers.notna() & (numbers.abs() < float("inf"))).all().all())
