@@ -39,7 +39,7 @@ def byte_letters() -> dict[int, str]:
 class Ids(dict):
     """Token ids of texts as little-endian unsigned 32-bit bytes; it maps pre-tokens to theirs, and is bounded."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 250_000):
         import regex
         from tokenizers import Tokenizer
 
