@@ -333,6 +333,28 @@ def test_op7(docs, rows, none, k, num):
     assert op7_jaccard.jaccard_components(none).count() == 0
 
 
+@pytest.mark.parametrize(("num", "seed"), [(90, 1), (80, 2), (80, 3), (50, 4)])
+def test_op7_links_of_a_block(num, seed):
+    rng = np.random.default_rng(seed)
+    base = [rng.integers(0, 1 << 62, 60) for _ in range(4)]
+    sets = [np.unique(np.concatenate([rng.permutation(base[k % 4])[: rng.integers(40, 61)], rng.integers(0, 1 << 62, rng.integers(0, 12)), base[3][:10]])).astype(np.uint64) for k in range(160)]
+    for blocks in ([0] * len(sets), [k % 2 for k in range(len(sets))]):
+        near = lambda a, b: 100 * len(set(a) & set(b)) >= num * len(set(a) | set(b))
+        up = list(range(len(sets)))
+        root = lambda x: x if up[x] == x else root(up[x])
+        for a in range(len(sets)):
+            for b in range(a):
+                if near(sets[a], sets[b]) and (len(set(blocks)) == 1 or blocks[a] != blocks[b]):
+                    up[root(a)] = root(b)
+        want, found = [root(x) for x in range(len(sets))], op7_jaccard.link(sets, blocks, num, 100)
+        assert all(near(sets[a], sets[b]) for a, b in found) and len(found) == len(sets) - len(set(want))
+        up = list(range(len(sets)))
+        for a, b in found:
+            up[root(a)] = root(b)
+        got = [root(x) for x in range(len(sets))]
+        assert len(set(zip(got, want))) == len(set(want)) == len(set(got))
+
+
 def test_op8(docs, rows, none):
     from tokenizers import Tokenizer
 
