@@ -8,7 +8,7 @@ vote with weight cosine squared.
 
 Cases: null and empty texts have no terms and get the labelled share of quality 1, as does everything if there are no labels
 (then 0.5); labels without a value or a document are left out; repeated rows are scored alike; an empty table gives no rows.
-Only the text enters a score.
+Only the text enters a score. Columns named score or predicted are replaced, all others are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -123,7 +123,7 @@ def score_quality(docs: DataFrame, voters: Voters) -> DataFrame:
             score = model.value.scores(b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*b.schema.names[1:], "__score", "__predicted"])
 
-    names = docs.columns
+    names = [n for n in docs.columns if n not in ("score", "predicted")]
     plain = docs.select(text_bytes().alias("__data"), *[F.col(f"`{n}`").alias(f"__c{k}") for k, n in enumerate(names)])
     fields = ", ".join(f"__c{k} {plain.schema[f'__c{k}'].dataType.simpleString()}" for k in range(len(names)))
     scored = plain.mapInArrow(work, f"{fields}, __score double, __predicted int")

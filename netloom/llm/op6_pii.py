@@ -15,7 +15,7 @@ an entity of the table, all but the first take the next attempt, until none is l
 are always enough of them; numbers keep their length.
 
 Cases: null texts stay null, empty ones empty; documents without entities stay as they are; repeated rows are
-replaced alike; an empty table gives no rows; all other columns are kept, whatever their names.
+replaced alike; an empty table gives no rows; a column n_entities is replaced, all others are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -227,7 +227,7 @@ def suspect(text: Column) -> Column:
 
 def replace_pii(docs: DataFrame, key: str = "netloom") -> DataFrame:
     """docs with surrogates in text, and column n_entities (how many were replaced); key keeps surrogates apart between owners."""
-    names = docs.columns
+    names = [n for n in docs.columns if n != "n_entities"]
     k1, k2 = wide_key(F.col("text"))
     body = docs.select(F.struct("*").alias("__row"), F.col("text").alias("__text"), k1.alias("__k1"), k2.alias("__k2"))
     spans = apart(F.concat(*[candidates(F.col("__text"), rank, name) for rank, name in enumerate(PATTERNS)]))

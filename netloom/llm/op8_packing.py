@@ -108,9 +108,10 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
         return min(int(have[p]) // parts.count(p) for p in parts)
 
     def pairs(total: int) -> list[tuple[int, int]]:
-        """The two pairs with the given sum whose larger parts are largest."""
+        """The four pairs with the given sum whose larger parts are largest: one with equal parts and those that share a length with
+        the rest of a filling may lack copies, so if none of four fits, no pair does."""
         big = np.arange(total - 1, (total - 1) // 2, -1)
-        hit = np.flatnonzero((have[big] > 0) & (have[total - big] > 0))[:2] if len(big) else []
+        hit = np.flatnonzero((have[big] > 0) & (have[total - big] > 0))[:4] if len(big) else []
         return [(int(big[k]), int(total - big[k])) for k in hit]
 
     def fillings(length: int) -> Iterator[tuple[int, ...]]:

@@ -441,3 +441,23 @@ def test_op10(spark, none, docs, rows):
     no = labels.where("false")
     assert {r.score for r in op10_quality.quality_report(docs, no).collect()} == {0.5}
     assert op10_quality.quality_report(none, labels).count() == 0
+
+
+def test_columns_of_the_results_names_are_replaced(spark, docs):
+    odd = docs.withColumns({"n_entities": F.lit("old"), "score": F.lit("old"), "predicted": F.lit("old")})
+    out = op6_pii.replace_pii(odd)
+    assert sorted(out.columns) == sorted(odd.columns) and dict(out.dtypes)["n_entities"] == "int"
+    scored = op10_quality.score_quality(odd, op10_quality.Voters([], np.zeros(0), 16, 4, 3))
+    assert sorted(scored.columns) == sorted(odd.columns) and {r.score for r in scored.collect()} == {0.5}
+
+
+def test_op8_finds_every_exact_filling():
+    """Where some four lengths or fewer fill a sequence, the first pattern of the plan does."""
+    import itertools
+
+    for seed in range(60):
+        rng = np.random.default_rng(seed)
+        h = collections.Counter(rng.integers(1, 40, 7).tolist())
+        items = list(h.elements())
+        exact = any(sum(c) == 40 and max(items) in c for k in range(1, 5) for c in itertools.combinations(items, k))
+        assert any(sum(p) == 40 for p, _ in op8_packing.plan(h, 40)) or not exact
