@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -140,3 +141,27 @@ def nearest_time(wanted: DataFrame, stored: DataFrame) -> DataFrame:
     """The stored time nearest to each wanted t; ties go to the earlier."""
     s = stored.select(F.col("t").alias("stored"))
     return wanted.join(F.broadcast(s)).groupBy("t").agg(F.min_by("stored", F.abs(F.col("t") - F.col("stored")) * 1000 + F.col("stored")).alias("stored"))
+
+
+def role_trajectory(op: DataFrame, which: str = "a", component: int = 1) -> DataFrame:
+    """Rows (t, id, score): a singular vector of each time's mean operator (draw, t, i, k, a, b), left for a and right for b.
+
+    Its sign is such that the coordinate of largest size is positive. A time's operator is one group: actors squared.
+    """
+    mean = op.groupBy("t", "i", "k").agg(F.avg(which).alias("v"))
+
+    def scores(rows: pd.DataFrame) -> pd.DataFrame:
+        m = rows.pivot(index="i", columns="k", values="v").fillna(0.0)
+        u, _, vt = np.linalg.svd(m.to_numpy())
+        x, names = (u[:, component - 1], m.index) if which == "a" else (vt[component - 1], m.columns)
+        x = x * (1.0 if x[np.abs(x).argmax()] > 0 else -1.0)
+        return pd.DataFrame({"t": rows["t"].iloc[0], "id": names.to_numpy(), "score": x})
+
+    return mean.groupBy("t").applyInPandas(scores, "t int, id int, score double")
+
+
+def split_rhat(draws: DataFrame, split: int) -> DataFrame:
+    """Rows (parameter, rhat) of draws (draw, parameter, value): the two halves, up to draw `split` and after it, as chains of one length."""
+    half = draws.groupBy("parameter", (F.col("draw") > split).alias("late")).agg(F.avg("value").alias("m"), F.var_samp("value").alias("v"), F.count("*").alias("n"))
+    both = half.groupBy("parameter").agg(F.avg("v").alias("w"), F.var_samp("m").alias("b"), F.min("n").alias("n"))
+    return both.select("parameter", F.sqrt((F.col("n") - 1) / F.col("n") + F.col("b") / F.col("w")).alias("rhat"))

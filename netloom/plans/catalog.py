@@ -692,6 +692,28 @@ def lag1_autocorr(spark, d):
     return suffstats.autocorrelation(fx.pars(spark))
 
 
+@query("parameter", "rhat", "SELECT parameter,sqrt((min(n)-1)/min(n)+var_samp(m)/avg(v)) rhat FROM (SELECT parameter,draw>25 late,avg(value) m,var_samp(value) v,count(*) n FROM pars GROUP BY ALL) GROUP BY parameter", "pars")
+def split_rhat(spark, d):
+    return posterior.split_rhat(fx.pars(spark), 25)
+
+
+@query("", "rss", "SELECT sum((v-(i=k)::INT)*(v-(i=k)::INT)) rss FROM am WHERE t<=3", "am")
+def regime_deviation(spark, d):
+    """Squared distance of all regimes' operators from the identity."""
+    away = F.col("v") - (F.col("i") == F.col("k")).cast("int")
+    return mean_op(spark, "a").where(F.col("t") <= fx.REGIMES).agg(F.sum(away * away).alias("rss"))
+
+
+@query("t id", "score")
+def role_trajectory_a(spark, d):
+    return posterior.role_trajectory(fx.op(spark), "a")
+
+
+@query("t id", "score")
+def role_trajectory_b(spark, d):
+    return posterior.role_trajectory(fx.op(spark), "b", 2)
+
+
 @query("parameter", "z", "SELECT parameter,(avg(h)-avg(w))/sqrt(var_samp(h)/count(h)+var_samp(w)/count(w)) z FROM (SELECT parameter,CASE WHEN draw<=5 THEN value END h,CASE WHEN draw>25 THEN value END w FROM pars) GROUP BY parameter", "pars")
 def geweke(spark, d):
     return posterior.geweke(fx.pars(spark))

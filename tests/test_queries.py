@@ -1,6 +1,7 @@
 """Every registered query of the network engine against its SQL twin, on the smallest tables."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from conftest import DATA
@@ -49,3 +50,15 @@ def test_rows_are_evaluated(spark, name):
     if {"i", "j", "y"} <= set(df.columns):
         numbers = numbers[df["i"] != df["j"]]
     assert len(numbers) > 0 and bool((numbers.notna() & (numbers.abs() < float("inf"))).all().all())
+
+
+@pytest.mark.parametrize(("which", "component"), [("a", 1), ("b", 2)])
+def test_role_trajectory(spark, which, component):
+    """Each time's scores are a unit singular vector of its mean operator."""
+    op = catalog.fx.op(spark).toPandas()
+    out = catalog.posterior.role_trajectory(catalog.fx.op(spark), which, component).toPandas()
+    for t, rows in op.groupby("t"):
+        m = rows.pivot_table(index="i", columns="k", values=which, aggfunc="mean").to_numpy()
+        x = out[out["t"] == t].sort_values("id")["score"].to_numpy()
+        s = np.linalg.svd(m, compute_uv=False)[component - 1]
+        assert np.allclose((m @ m.T if which == "a" else m.T @ m) @ x, s**2 * x) and np.isclose(x @ x, 1) and x[np.abs(x).argmax()] > 0
