@@ -39,7 +39,7 @@ def byte_letters() -> dict[int, str]:
 class Ids(dict):
     """Token ids of texts as little-endian unsigned 32-bit bytes; it maps pre-tokens to theirs, and is bounded."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 600_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -53,9 +53,9 @@ class Ids(dict):
         ids = array("I", [t.id for t in self.merge(word.encode().decode("latin-1").translate(self.letters))])
         if sys.byteorder == "big":
             ids.byteswap()
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = out = ids.tobytes()
+        out = ids.tobytes()
+        if len(self) < self.most:  # frequent words come early; a full dictionary stays as it is
+            self[word] = out
         return out
 
     def __call__(self, text: str) -> bytes:
