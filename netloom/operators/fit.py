@@ -1,12 +1,14 @@
 """Bayesian fits: chains are groups, each runs in one Python worker and gives long rows of draws.
 
 A tensor of one fit (m * m * p * T cells) is read into each chain's task; chains, and fits of many tensors by a group key,
-run side by side. Draw tables: (chain, draw, part, t, i, k, value) with parts a, b, mu, theta, u, alpha, state, trans, par.
+run side by side. Draw tables: (chain, draw, part, name, t, i, k, value) with parts a, b, mu, theta, u, alpha, state, trans, par;
+i and k count the actors of `actors(tensor)`, theta's name is the relation's number. A chain hands on its draws in blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -15,8 +17,11 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from . import kernels as K
+from . import posterior
+from . import predict as forecasts
 
 DRAWS = "chain int, draw int, part string, name string, t int, i int, k int, value double"
+SCALARS = {"sigma2_proc": "s2", "sigma2_obs": "s2obs", "tau_A2": "ta", "tau_B2": "tb", "g2": "g2"}
 MODELS, FAMILIES = ("static", "dynamic", "lowrank", "hmm"), ("ordinal", "gaussian", "binary")
 
 
@@ -34,12 +39,14 @@ class Chain:
                 sd = v.std(ddof=1) if len(v) > 1 else 1.0
                 self.z[r] = np.where(self.seen[r], (y[r] - (v.mean() if len(v) else 0.0)) / (sd or 1.0), 0.0)
         self.mu = np.array(self.init.get("mu", self.z.mean(1)))
+        if self.mu.shape != (self.p, self.m, self.m) or any(np.shape(self.init[x])[1:] != (self.m, self.m) for x in "ab" if x in self.init):
+            raise ValueError("the previous fit has other actors or relations")
         self.theta = self.z - self.mu[:, None] + 0.1 * rng.standard_normal(self.z.shape)
         self.s2 = self.s2obs = self.ta = self.tb = self.g2 = 1.0
         self.a = np.repeat(self.eye[None], self.T, 0)
         self.b = self.a.copy()
         for name in ("s2", "s2obs", "ta", "tb", "g2", "a", "b"):
-            if name in self.init:
+            if name in self.init and (name not in ("a", "b") or np.shape(self.init[name]) == self.a.shape):
                 setattr(self, name, np.array(self.init[name]) if name in ("a", "b") else float(self.init[name]))
 
     def latent(self, ez: np.ndarray, by_slice: bool = False) -> None:
@@ -85,6 +92,10 @@ class Chain:
     def operators(self) -> list[tuple]:
         return [("a", self.a), ("b", self.b)]
 
+    def latent_states(self) -> np.ndarray:
+        """(p, T, m, m), or no relation where the model has no states."""
+        return self.theta
+
     def scalars(self) -> dict[str, float]:
         return {"sigma2_proc": self.s2, "sigma2_obs": self.s2obs, "tau_A2": self.ta, "tau_B2": self.tb, "g2": self.g2}
 
@@ -108,6 +119,9 @@ class Static(Chain):
     def operators(self) -> list[tuple]:
         return [("a", self.eye[None]), ("b", self.b1[None])]
 
+    def latent_states(self) -> np.ndarray:
+        return self.theta[:0]
+
 
 class Dynamic(Chain):
     def __init__(self, *args, ar1: bool = False, update_rho: bool = False, **kw):
@@ -232,23 +246,31 @@ def register_sampler(name: str, sampler: Callable) -> None:
     SAMPLERS[name] = sampler
 
 
-def run_chain(y: np.ndarray, model: str, family: str, nscan: int, burn: int, odens: int, seed: int, chain: int, init: dict | None = None, **options) -> pd.DataFrame:
+def long_rows(draw: int, part: str, x: np.ndarray, name: str | None = None) -> pd.DataFrame:
+    t, i, k = np.indices(x.shape).reshape(3, -1) + 1
+    return pd.DataFrame({"draw": draw, "part": part, "name": name, "t": t, "i": i, "k": k, "value": x.reshape(-1)})
+
+
+def chain_blocks(y: np.ndarray, model: str, family: str, nscan: int, burn: int, odens: int, seed: int, chain: int, init: dict | None = None, block: int = 200_000, **options) -> Iterator[pd.DataFrame]:
+    """Draws of one chain in frames of about `block` rows, so that a long chain never stands in memory as a whole."""
     rng = np.random.Generator(np.random.Philox(key=[seed, chain]))
     sampler = SAMPLERS[model](y, family, rng, init=init, **options)
-    rows, draw = [], 0
+    rows, size, draw = [], 0, 0
     for it in range(1, burn + nscan + 1):
         sampler.sweep()
         if it <= burn or (it - burn - 1) % odens:
             continue
         draw += 1
-        for part, x in [*sampler.operators(), ("mu", sampler.mu)]:
-            t, i, k = np.indices(x.shape).reshape(3, -1) + 1
-            rows.append(pd.DataFrame({"draw": draw, "part": part, "name": None, "t": t, "i": i, "k": k, "value": x.reshape(-1)}))
         pars = sampler.scalars()
-        rows.append(pd.DataFrame({"draw": draw, "part": "par", "name": list(pars), "t": 0, "i": 0, "k": 0, "value": list(pars.values())}))
-    out = pd.concat(rows, ignore_index=True)
-    out.insert(0, "chain", chain)
-    return out
+        new = [long_rows(draw, part, x) for part, x in [*sampler.operators(), ("mu", sampler.mu)]]
+        new += [long_rows(draw, "theta", x, str(r)) for r, x in enumerate(sampler.latent_states(), 1)]
+        new.append(pd.DataFrame({"draw": draw, "part": "par", "name": list(pars), "t": 0, "i": 0, "k": 0, "value": list(pars.values())}))
+        rows, size = rows + new, size + sum(map(len, new))
+        if size >= block:
+            yield pd.concat(rows, ignore_index=True).assign(chain=chain)
+            rows, size = [], 0
+    if rows:
+        yield pd.concat(rows, ignore_index=True).assign(chain=chain)
 
 
 def cube(cells: pd.DataFrame) -> tuple[np.ndarray, list]:
@@ -261,10 +283,11 @@ def cube(cells: pd.DataFrame) -> tuple[np.ndarray, list]:
     return y, actors
 
 
-def fit(tensor: DataFrame, family: str = "ordinal", model: str = "static", nscan: int = 5000, burn: int = 1000, odens: int = 1, seed: int = 6886, chains: int = 1, previous: dict | None = None, **options) -> DataFrame:
+def fit(tensor: DataFrame, family: str = "ordinal", model: str = "static", nscan: int = 5000, burn: int = 1000, odens: int = 1, seed: int = 6886, chains: int = 1, previous: dict | DataFrame | None = None, **options) -> DataFrame:
     """Draws of a model fitted to (i, j, rel, t, y); chains run in parallel, sweeps of a chain in one task.
 
-    `previous` is a warm start: values by name (s2, ta, a, b, mu, ...) as the last draw of an earlier fit has them.
+    `previous` is a warm start: the draws of an earlier fit, whose last draw is taken, or values by name (s2, ta, a, b, mu, ...).
+    Operators of a fit over other times are not taken over; other actors or relations are an error.
     """
     if family not in FAMILIES:
         raise ValueError(f"family should be one of {', '.join(FAMILIES)}")
@@ -277,17 +300,62 @@ def fit(tensor: DataFrame, family: str = "ordinal", model: str = "static", nscan
         raise ValueError("the model needs at least 2 time points")
     if tensor.agg(F.min("y") == F.max("y")).first()[0]:
         raise ValueError("data have zero variance")
+    start = last_draw(previous) if isinstance(previous, DataFrame) else previous
     cells = tensor.select("i", "j", F.col("rel").cast("string").alias("rel"), "t", F.col("y").cast("double").alias("y"))
     # Every chain's group is the whole tensor: m * m * p * T cells times `chains`.
     grouped = cells.join(spark.range(chains).select(F.col("id").cast("int").alias("chain"))).groupBy("chain")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        y, _ = cube(pdf)
-        return run_chain(y, model, family, nscan, burn, odens, seed, int(key[0]), previous, **options)
+    def run(key: tuple[Any, ...], frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        y, _ = cube(pd.concat(list(frames), ignore_index=True))
+        for rows in chain_blocks(y, model, family, nscan, burn, odens, seed, int(key[0]), start, **options):
+            yield rows[["chain", "draw", "part", "name", "t", "i", "k", "value"]]
 
     return grouped.applyInPandas(run, DRAWS)
 
 
+def last_draw(draws: DataFrame) -> dict:
+    """Values by name of the last draw of the first chain; that one draw goes to the driver."""
+    last = draws.select("chain", "draw").orderBy("chain", F.desc("draw")).first()
+    if last is None:
+        raise ValueError("the previous fit has no draws")
+    rows = draws.where((F.col("chain") == last["chain"]) & (F.col("draw") == last["draw"]) & F.col("part").isin("a", "b", "mu", "par")).toPandas()
+    out = {short: float(v) for name, short in SCALARS.items() for v in rows.loc[(rows["part"] == "par") & (rows["name"] == name), "value"]}
+    for part, cells in rows[rows["part"] != "par"].groupby("part"):
+        x = np.zeros(tuple(int(cells[c].max()) for c in ("t", "i", "k")))
+        x[cells["t"] - 1, cells["i"] - 1, cells["k"] - 1] = cells["value"]
+        out[part] = x
+    return out
+
+
+def actors(tensor: DataFrame) -> DataFrame:
+    """(i, actor): the number by which draws name each actor of a tensor."""
+    names = tensor.select(F.explode(F.array("i", "j")).alias("actor")).agg(F.array_sort(F.collect_set("actor")).alias("all"))
+    return names.select(F.posexplode("all").alias("at", "actor")).select((F.col("at") + 1).alias("i"), "actor")
+
+
+def states(draws: DataFrame) -> DataFrame:
+    """Latent states (chain, draw, i, j, rel, t, theta) as the posterior queries take them; rel is the relation's number."""
+    return draws.where("part = 'theta'").select("chain", "draw", "i", F.col("k").alias("j"), F.col("name").cast("int").alias("rel"), "t", F.col("value").alias("theta"))
+
+
+def pooled(rows: DataFrame) -> DataFrame:
+    """Rows of all chains under one number of draws, which differs between chains."""
+    return rows.withColumn("draw", F.col("chain") * F.lit(10**9) + F.col("draw")).drop("chain")
+
+
+def summary(draws: DataFrame) -> DataFrame:
+    """Mean, deviation and quantiles of each parameter over all chains."""
+    return posterior.param_summary(parameters(draws).drop("chain"))
+
+
+def predict(draws: DataFrame, horizon: int = 1, rel: int = 1) -> DataFrame:
+    """Forecasts (draw, h, i, j, y) of a dynamic or low-rank fit: last operators, last states, each draw's own noise."""
+    late = lambda df: df.join(F.broadcast(df.agg(F.max("t").alias("t"))), "t")  # noqa: E731  # one row
+    start = late(pooled(states(draws)).where(F.col("rel") == rel)).select("draw", "i", "j", F.col("theta").alias("y"))
+    noise = pooled(parameters(draws).where("parameter = 'sigma2_proc'")).select("draw", F.sqrt("value").alias("sd"))
+    return forecasts.forecast(late(pooled(operators(draws))), start, horizon, noise)
+
+
 def parameters(draws: DataFrame) -> DataFrame:
     return draws.where("part = 'par'").select("chain", "draw", F.col("name").alias("parameter"), "value")
 

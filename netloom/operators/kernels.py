@@ -36,6 +36,43 @@ def stationary(a: np.ndarray, b: np.ndarray) -> bool:
     return radius(a) * radius(b) < CAP
 
 
+def transition_ok(a: np.ndarray, b: np.ndarray, m: int, n: int, both: bool = True) -> bool:
+    """Whether a (m x m) and b (n x n) are finite and their radii below the cap; both: the product of the radii, too."""
+    if a.shape != (m, m) or b.shape != (n, n) or not (np.isfinite(a).all() and np.isfinite(b).all()):
+        return False
+    return max(radius(a), radius(b)) < CAP and (not both or stationary(a, b))
+
+
+def propose_transition(rng: np.random.Generator, a: np.ndarray, b: np.ndarray, step_a: float = 0.1, step_b: float = 0.1, tries: int = 10) -> tuple[np.ndarray, np.ndarray, bool, int]:
+    """A random-walk proposal (a, b, valid, attempts); steps shrink to 0.8 of their size after each that is not valid, and the old pair is the answer if none is."""
+    shrink = 0.8 ** np.arange(tries)
+    for n, s in enumerate(shrink, 1):
+        walk = [capped(x + step * s * rng.standard_normal(x.shape)) for x, step in ((a, step_a), (b, step_b))]
+        if transition_ok(*walk, len(a), len(b)):
+            return *walk, True, n
+    return a, b, False, tries
+
+
+def covariance_ok(s: np.ndarray, least: float = 1e-6, condition: float = 1e6) -> bool:
+    """Whether the least eigenvalue and the condition number are within their bounds."""
+    w = np.linalg.eigvalsh(s)
+    return bool(w[0] >= least and w[-1] <= condition * w[0])
+
+
+def innovation_covariance(rng: np.random.Generator, now: np.ndarray, nu: int, scale: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, bool]:
+    """A draw of the columns' covariance of the innovations of x (T, m, n) under x_t = a x_(t-1) b' + e; `now` stays if the draw is not usable."""
+    e = np.concatenate(x[1:] - a @ x[:-1] @ b.T) if len(x) > 1 else np.zeros((0, x.shape[2]))
+    draw = inverse_wishart(rng, nu + len(e), positive(scale + e.T @ e))
+    return (draw, True) if covariance_ok(draw) else (now, False)
+
+
+def orthonormal_factors(rng: np.random.Generator, m: int, r: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two m x r matrices with orthonormal columns."""
+    if r > m:
+        raise ValueError("rank cannot exceed dimension")
+    return tuple(np.linalg.qr(rng.standard_normal((m, r)))[0] for _ in "uv")
+
+
 def inverse_gamma(rng: np.random.Generator, shape: float, rate: float) -> float:
     return float(np.clip(max(rate, 1e-10) / rng.gamma(max(shape, 1e-10)), 1e-8, 1e8))
 

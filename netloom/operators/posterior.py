@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kernels import effective_size, filter_dlm
+
 
 def quantiles(value: str, probs: Sequence[float]) -> list[Column]:
     return [F.percentile(value, F.lit(float(p))).alias(f"q{round(100 * p, 1):g}".replace(".", "_")) for p in probs]
@@ -165,3 +167,28 @@ def split_rhat(draws: DataFrame, split: int) -> DataFrame:
     half = draws.groupBy("parameter", (F.col("draw") > split).alias("late")).agg(F.avg("value").alias("m"), F.var_samp("value").alias("v"), F.count("*").alias("n"))
     both = half.groupBy("parameter").agg(F.avg("v").alias("w"), F.var_samp("m").alias("b"), F.min("n").alias("n"))
     return both.select("parameter", F.sqrt((F.col("n") - 1) / F.col("n") + F.col("b") / F.col("w")).alias("rhat"))
+
+
+def effective_sizes(draws: DataFrame) -> DataFrame:
+    """Rows (parameter, ess) of draws (draw, parameter, value) of one chain, which is one group's size."""
+
+    def size(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"parameter": rows["parameter"].iloc[:1], "ess": [effective_size(rows.sort_values("draw")["value"].to_numpy())]})
+
+    return draws.groupBy("parameter").applyInPandas(size, "parameter string, ess double")
+
+
+def dlm_states(series: DataFrame, variance: float, step: float, rho: float = 1.0, seed: int = 1) -> DataFrame:
+    """One draw of the level of each series (id long, t, y): y = x + noise, x = rho x before + step; rows (id, t, x), each series by itself.
+
+    Times without a value are left out, their step is one like any other; a series without values gives no rows.
+    """
+
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("t")
+        rng = np.random.Generator(np.random.Philox(key=[seed, int(rows["id"].iloc[0]) & (2**63 - 1)]))
+        one = np.eye(1)
+        x = filter_dlm(rng, [np.array([v]) for v in rows["y"]], [one] * len(rows), variance * one, step * one, np.zeros(1), one, rho)
+        return pd.DataFrame({"id": rows["id"], "t": rows["t"], "x": x[:, 0]})
+
+    return series.where("y is not null").select("id", "t", "y").groupBy("id").applyInPandas(draw, "id long, t int, x double")

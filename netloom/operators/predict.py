@@ -62,13 +62,14 @@ def cuts_of(tensor: DataFrame, levels: int = 5) -> DataFrame:
     return tensor.groupBy("rel").agg(F.percentile("y", shares).alias("cuts"))
 
 
-def forecast(op: DataFrame, start: DataFrame, horizon: int, sd: float, seed: str = "forecast") -> DataFrame:
-    """Theta_h = A Theta_(h-1) B' + sd noise for h = 1..horizon, each draw with its own operators (draw, i, k, a, b)."""
+def forecast(op: DataFrame, start: DataFrame, horizon: int, sd: float | DataFrame, seed: str = "forecast") -> DataFrame:
+    """Theta_h = A Theta_(h-1) B' + sd noise for h = 1..horizon, each draw with its own operators (draw, i, k, a, b); sd is one for all draws or a table (draw, sd)."""
     a, b = op.select("draw", "i", "k", F.col("a").alias("v")), op.select("draw", "i", "k", F.col("b").alias("v"))
     now, steps = start.select("draw", "i", "j", "y"), []
     for h in range(1, horizon + 1):
         now = bilinear(now, a, b, "y", ["draw"])
-        now = now.select("draw", "i", "j", (F.col("y") + sd * normal(seed, "draw", "i", "j", F.lit(h))).alias("y"))
+        now = now.join(sd, "draw") if isinstance(sd, DataFrame) else now.withColumn("sd", F.lit(sd))
+        now = now.select("draw", "i", "j", (F.col("y") + F.col("sd") * normal(seed, "draw", "i", "j", F.lit(h))).alias("y"))
         steps.append(now.select("draw", F.lit(h).alias("h"), "i", "j", "y"))
     return reduce(DataFrame.unionByName, steps)
 

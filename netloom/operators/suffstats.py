@@ -83,3 +83,10 @@ def autocorrelation(traces: DataFrame, lag: int = 1) -> DataFrame:
 
 def lag_cells(tensor: DataFrame, value: str = "y") -> DataFrame:
     return lag_pair(tensor, value)
+
+
+def response_vector(theta: DataFrame, base: DataFrame, relations: int, actors: int) -> DataFrame:
+    """(place, y): states (i, j, rel, t, y) from the second time on less their baseline (i, j, rel, mu), by place in the stacked columns of all matrices."""
+    matrix = (F.col("t") - 2) * relations + F.col("rel") - 1
+    place = (matrix * actors + F.col("j") - 1) * actors + F.col("i")
+    return theta.where("t > 1").join(base, ["i", "j", "rel"]).select(place.alias("place"), (F.col("y") - F.col("mu")).alias("y"))

@@ -396,6 +396,11 @@ def gram_alpha(spark, d):
     return x.join(y, ["t", "rel", "i", "j"]).groupBy("t", "r", "s").agg(F.sum(F.col("x") * F.col("w")).alias("g"))
 
 
+@query("place", "y", "SELECT ((t-2)*2+rel-1)*25+(j-1)*5+i AS place,y-mu y FROM thm JOIN base USING (i,j,rel) WHERE t>1", "thm", "base")
+def alpha_response(spark, d):
+    return suffstats.response_vector(mean_theta(spark), fx.base(spark), fx.RELS, fx.ACTORS)
+
+
 EMIT = "SELECT x.t,p.regime,-0.5::DOUBLE*sum((x.y-p.y)*(x.y-p.y))-12.5::DOUBLE*ln(2*pi()) ll FROM (SELECT i,j,t,avg(y) y FROM thm GROUP BY ALL) x JOIN (SELECT m.i,n.i AS j,s.t,m.t AS regime,sum(m.v*s.y*n.v) y FROM (SELECT i,j,t+1 t,avg(y) y FROM thm GROUP BY ALL) s JOIN am m ON m.k=s.i AND m.t<=3 JOIN bm n ON n.k=s.j AND n.t=m.t GROUP BY ALL) p USING (i,j,t) GROUP BY ALL"
 
 
@@ -697,6 +702,17 @@ def split_rhat(spark, d):
     return posterior.split_rhat(fx.pars(spark), 25)
 
 
+ESS = """WITH p AS (SELECT parameter,draw,value-avg(value) OVER (PARTITION BY parameter) y FROM pars),
+c AS MATERIALIZED (SELECT a.parameter,b.draw-a.draw lag,sum(a.y*b.y) g FROM p a JOIN p b ON a.parameter=b.parameter AND b.draw>=a.draw GROUP BY ALL),
+s AS MATERIALIZED (SELECT c.parameter,(c.lag+1)//2 k,sum(c.g/o.g) s FROM c JOIN c o ON o.parameter=c.parameter AND o.lag=0 WHERE c.lag BETWEEN 1 AND 24 GROUP BY ALL)
+SELECT parameter,50/(1+2*coalesce(sum(s) FILTER (k<stop),0)) ess FROM s JOIN (SELECT parameter,coalesce(min(k) FILTER (s<=0),13) stop FROM s GROUP BY parameter) USING (parameter) GROUP BY parameter"""
+
+
+@query("parameter", "ess", ESS, "pars")
+def effective_size(spark, d):
+    return posterior.effective_sizes(fx.pars(spark))
+
+
 @query("", "rss", "SELECT sum((v-(i=k)::INT)*(v-(i=k)::INT)) rss FROM am WHERE t<=3", "am")
 def regime_deviation(spark, d):
     """Squared distance of all regimes' operators from the identity."""
@@ -742,7 +758,8 @@ def significant_edges(spark, d):
 
 @query("regime", "share", "SELECT regime,count(*)/140.0::DOUBLE share FROM state GROUP BY regime", "state")
 def mean_regime_share(spark, d):
-    return fx.state(spark).groupBy("regime").agg((F.count("*") / F.lit(140.0)).alias("share"))
+    n = fx.state(spark).groupBy("regime").agg(F.count("*").alias("n"))
+    return n.join(F.broadcast(n.agg(F.sum("n").alias("all")))).select("regime", (F.col("n") / F.col("all")).alias("share"))  # one row
 
 
 @query("t", "mean lo hi", "SELECT t,avg(v) mean,quantile_cont(v,0.025) lo,quantile_cont(v,0.975) hi FROM (SELECT draw,t,sum(a) v FROM op WHERE i=k GROUP BY ALL) GROUP BY t", "op")
@@ -877,3 +894,24 @@ for model_ in fits.MODELS:
 
     fit_.__name__ = f"fit_{model_}"
     query("chain draw part t i k", "value")(fit_)
+
+
+def dynamic_fit(spark, d):
+    return fits.fit(fit_input(spark, d), "gaussian", "dynamic", nscan=20, burn=20, odens=2, chains=2)
+
+
+@query("i j rel t", "value")
+def fit_theta_summary(spark, d):
+    return posterior.theta_summary(fits.pooled(fits.states(dynamic_fit(spark, d))))
+
+
+@query("draw h i j", "y")
+def fit_predict(spark, d):
+    return fits.predict(dynamic_fit(spark, d), 2)
+
+
+@query("id t", "x")
+def dlm_batch(spark, d):
+    """A draw of the level of each relation of each pair of nations over the years."""
+    series = net(spark, d).select(F.xxhash64("i", "j", "rel").alias("id"), "t", F.log1p("y").alias("y"))
+    return posterior.dlm_states(series, 0.5, 0.1)

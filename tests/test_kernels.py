@@ -110,3 +110,34 @@ def test_effective_size():
     for t in range(1, len(y)):
         y[t] = 0.8 * y[t - 1] + rng.standard_normal()
     assert 0.7 < kernels.effective_size(y) / (len(y) * 0.2 / 1.8) < 1.4 and kernels.effective_size(np.ones(10)) == 10
+
+
+def test_transitions_and_proposals():
+    rng = np.random.default_rng(8)
+    a, b = 0.5 * np.eye(3), 0.5 * np.eye(2)
+    assert kernels.transition_ok(a, b, 3, 2) and not kernels.transition_ok(a, b, 2, 2)
+    assert not kernels.transition_ok(a * np.nan, b, 3, 2) and not kernels.transition_ok(2 * a, b, 3, 2)
+    new_a, new_b, valid, n = kernels.propose_transition(rng, a, b)
+    assert valid and n == 1 and kernels.transition_ok(new_a, new_b, 3, 2) and not np.allclose(new_a, a)
+    kept = kernels.propose_transition(rng, a, b, tries=0)
+    assert kept[0] is a and kept[1] is b and kept[2:] == (False, 0)
+
+
+def test_innovation_covariance():
+    assert kernels.covariance_ok(np.diag([1.0, 2.0])) and not kernels.covariance_ok(np.diag([1e-7, 1.0])) and not kernels.covariance_ok(np.diag([1.0, 1e7]))
+    rng = np.random.default_rng(9)
+    true, a, b = np.array([[1.0, 0.4], [0.4, 0.5]]), 0.5 * np.eye(4), 0.6 * np.eye(2)
+    x = [np.zeros((4, 2))]
+    for _ in range(3000):
+        x.append(a @ x[-1] @ b.T + rng.multivariate_normal(np.zeros(2), true, 4))
+    draw, taken = kernels.innovation_covariance(rng, np.eye(2), 5, np.eye(2), np.array(x), a, b)
+    assert taken and np.allclose(draw, true, atol=0.06)
+    kept, taken = kernels.innovation_covariance(rng, true, 5, 1e-9 * np.eye(2), np.zeros((1, 4, 2)), a, b)
+    assert not taken and kept is true  # no innovations, and a scale too small to be usable
+
+
+def test_orthonormal_factors():
+    u, v = kernels.orthonormal_factors(np.random.default_rng(10), 6, 2)
+    assert np.allclose(u.T @ u, np.eye(2)) and np.allclose(v.T @ v, np.eye(2)) and not np.allclose(u, v)
+    with pytest.raises(ValueError, match="rank"):
+        kernels.orthonormal_factors(np.random.default_rng(1), 2, 3)
