@@ -298,12 +298,12 @@ def variance_shape_rate(spark, d):
     return suffstats.bilinear_squares(mean_theta(spark), mean_op(spark, "a"), mean_op(spark, "b")).select(((2 + F.col("n")) / F.lit(2.0)).alias("shape"), (2 + F.col("rss") / 2).alias("rate"))
 
 
-@query("draw", "value")
+@query("draw", "value", f"SELECT draw,least(greatest(2/{fx.sgamma('5.0::DOUBLE', 'ig', 'draw')},1e-8::DOUBLE),1e8::DOUBLE) AS value FROM {fx.sr('draw', 200)}")
 def inv_gamma_draw(spark, d):
     return fx.ids(spark, "draw", 200).select("draw", suffstats.inverse_gamma(F.lit(5.0), F.lit(2.0), "ig", "draw").alias("value"))
 
 
-@query("draw k", "p")
+@query("draw k", "p", f"SELECT draw,k,g/sum(g) OVER (PARTITION BY draw) p FROM (SELECT draw,k,{fx.sgamma('(2.0::DOUBLE+k)', 'dirichlet', 'draw', 'k')} g FROM {fx.sr('draw', 50)},{fx.sr('k', 3)})")
 def dirichlet_draw(spark, d):
     from pyspark.sql import Window
 
@@ -797,17 +797,21 @@ def ppc_density_hist(spark, d):
     return posterior.histogram(rows, 20).withColumnRenamed("parameter", "rel")
 
 
-@query("draw i j rel t", "y")
+CUTS = "(SELECT rel,quantile_cont(y,0.2) c1,quantile_cont(y,0.4) c2,quantile_cont(y,0.6) c3,quantile_cont(y,0.8) c4 FROM thm GROUP BY rel)"
+UNIFORM = su("ppd", "draw", "i", "j", "rel", "t")
+
+
+@query("draw i j rel t", "y", f"SELECT draw,i,j,rel,t,({UNIFORM}<{fx.spnorm('theta')})::INT::DOUBLE y FROM theta", "theta")
 def binary_generate(spark, d):
     return predict.posterior_predict(fx.theta(spark), "binary")
 
 
-@query("draw i j rel t", "y")
+@query("draw i j rel t", "y", f"SELECT draw,i,j,rel,t,(1+{'+'.join(f'({fx.spnorm(f'(c{k}-theta)')}<{UNIFORM})::INT' for k in range(1, 5))})::DOUBLE y FROM theta JOIN {CUTS} USING (rel)", "thm")
 def ordinal_generate(spark, d):
     return predict.posterior_predict(fx.theta(spark), "ordinal", cuts=predict.cuts_of(mean_theta(spark)))
 
 
-@query("i j rel t", "y")
+@query("i j rel t", "y", f"SELECT i,j,rel,t,1+{'+'.join(f'(1-{fx.spnorm(f'(c{k}-y)')})' for k in range(1, 5))} y FROM thm JOIN {CUTS} USING (rel)", "thm")
 def ordinal_expected(spark, d):
     return mean_theta(spark).join(F.broadcast(predict.cuts_of(mean_theta(spark))), "rel").withColumn("y", predict.expected_category(F.col("y"), F.col("cuts")))
 
@@ -821,11 +825,11 @@ def predict_ordinal(spark, d):
     return rows.withColumn("y", 1 + F.size(F.filter("cuts", lambda c: c <= F.col("y"))))
 
 
-def forecast_sql(where: str) -> str:
-    parts = ["y0 AS MATERIALIZED (SELECT draw,i,j,theta y FROM theta WHERE rel=1 AND t=7)"]
-    for h in (1, 2, 3):
-        parts.append(f"y{h} AS MATERIALIZED (SELECT draw,i,j,y+0.5::DOUBLE*{sn('forecast', 'draw', 'i', 'j', str(h))} y FROM (SELECT x.draw,m.i,n.i AS j,sum(m.a*x.y*n.b) y FROM y{h - 1} x JOIN op m ON m.draw=x.draw AND m.k=x.i AND {where.format('m')} JOIN op n ON n.draw=x.draw AND n.k=x.j AND {where.format('n')} GROUP BY ALL))")
-    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT draw,{h} h,i,j,y FROM y{h}" for h in (1, 2, 3))
+def forecast_sql(where: str, own: str = "SELECT * FROM op", steps: int = 3) -> str:
+    parts = [f"own AS MATERIALIZED ({own})", "y0 AS MATERIALIZED (SELECT draw,i,j,theta y FROM theta WHERE rel=1 AND t=7)"]
+    for h in range(1, steps + 1):
+        parts.append(f"y{h} AS MATERIALIZED (SELECT draw,i,j,y+0.5::DOUBLE*{sn('forecast', 'draw', 'i', 'j', str(h))} y FROM (SELECT x.draw,m.i,n.i AS j,sum(m.a*x.y*n.b) y FROM y{h - 1} x JOIN own m ON m.draw=x.draw AND m.k=x.i AND {where.format('m')} JOIN own n ON n.draw=x.draw AND n.k=x.j AND {where.format('n')} GROUP BY ALL))")
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT draw,{h} h,i,j,y FROM y{h}" for h in range(1, steps + 1))
 
 
 @query("draw h i j", "y", forecast_sql("{}.t=7"), "op", "theta")
@@ -840,7 +844,10 @@ def predict_static(spark, d):
     return predict.forecast(fx.op(spark).where("t = 1"), start, 3, 0.5)
 
 
-@query("draw h i j", "y")
+LATE_FACTORS = "SELECT o.draw,o.i,o.k,l.v a,o.b FROM op o JOIN (SELECT x.i,y.i AS k,sum(a.a*x.u*y.u) v FROM uf x JOIN uf y ON x.r=y.r JOIN alpha a ON a.r=x.r WHERE a.t=7 GROUP BY ALL) l ON l.i=o.i AND l.k=o.k WHERE o.t=7"
+
+
+@query("draw h i j", "y", forecast_sql("TRUE", LATE_FACTORS), "op", "theta", "uf", "alpha")
 def forecast_lowrank(spark, d):
     a = algebra.lowrank(fx.u_factor(spark), fx.alpha(spark)).where("t = 7").select("i", "k", F.col("v").alias("a"))
     op = fx.op(spark).where("t = 7").drop("a").join(a, ["i", "k"])
@@ -848,7 +855,10 @@ def forecast_lowrank(spark, d):
     return predict.forecast(op, start, 3, 0.5)
 
 
-@query("draw h i j", "y")
+NEXT_REGIME = f"SELECT o.* FROM op o JOIN (SELECT draw,1+(u>0.8::DOUBLE)::INT+(u>0.9::DOUBLE)::INT t FROM (SELECT draw,{su('regime', 'draw', '1')} u FROM {fx.sr('draw', fx.DRAWS)})) r ON r.draw=o.draw AND r.t=o.t"
+
+
+@query("draw h i j", "y", forecast_sql("TRUE", NEXT_REGIME, 1), "op", "theta")
 def forecast_hmm(spark, d):
     trans = fx.grid(spark, draw=fx.DRAWS, **{"from": 3, "to": 3}).withColumn("p", F.when(F.col("from") == F.col("to"), 0.8).otherwise(0.1))
     first = predict.regime_path(trans, 1).select("draw", F.col("regime").alias("t"))

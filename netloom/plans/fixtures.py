@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.normal import ERF, ERF_P
 from ..functions.rng import normal, uniform
 
 DRAWS, TIMES, ACTORS, RANK, REGIMES, RELS = 20, 7, 5, 2, 3, 2
@@ -64,6 +65,26 @@ def sn(seed: str, *keys: str) -> str:
     return f"(sqrt(-2.0::DOUBLE*ln(greatest({su(seed + ':1', *keys)},1e-16::DOUBLE)))*cos(2*pi()*{su(seed + ':2', *keys)}))"
 
 
+def spnorm(x: str) -> str:
+    t = f"(1/(1+{ERF_P}::DOUBLE*abs({x})/sqrt(2.0::DOUBLE)))"
+    inner = "0"
+    for c in reversed(ERF):
+        inner = f"({inner}*{t}+({c})::DOUBLE)"
+    tail = f"(0.5::DOUBLE*{t}*{inner}*exp(-({x})*({x})/2))"
+    return f"(CASE WHEN {x}>=0 THEN 1-{tail} ELSE {tail} END)"
+
+
+def sgamma(shape: str, seed: str, *keys: str, attempts: int = 8) -> str:
+    """The first accepted of the attempts of Marsaglia and Tsang, else the mode."""
+    d = f"({shape}-1/3.0::DOUBLE)"
+    tries = []
+    for k in range(attempts):
+        x, u = sn(f"{seed}:x{k}", *keys), f"greatest({su(f'{seed}:u{k}', *keys)},1e-16::DOUBLE)"
+        v = f"pow(1+{x}/sqrt(9*{d}),3)"
+        tries.append(f"WHEN {v}>0 AND ln({u})<0.5::DOUBLE*pow({x},2)+{d}-{d}*{v}+{d}*ln(greatest({v},1e-300::DOUBLE)) THEN {d}*{v}")
+    return f"(CASE {' '.join(tries)} ELSE {d} END)"
+
+
 def sr(name: str, n: int) -> str:
     return f"(SELECT range::INT AS {name} FROM range(1,{n + 1}))"
 
