@@ -613,12 +613,22 @@ def rec_sql(value: str) -> str:
     return f"SELECT a.draw,a.h,coalesce((avg(a.{value}*b.{value})-avg(a.{value})*avg(b.{value}))/nullif(sqrt(var_pop(a.{value})*var_pop(b.{value})),0),0) r FROM full_ a JOIN full_ b ON a.draw=b.draw AND a.h=b.h AND a.i=b.j AND a.j=b.i WHERE a.i<a.j GROUP BY ALL"
 
 
-@query("draw h", "value", f"WITH resp AS MATERIALIZED ({irf_sql(True)}), full_ AS MATERIALIZED (SELECT g.draw,g.h,g.i,g.j,coalesce(r.y,0)+b.mu y,b.mu mu FROM (SELECT DISTINCT o.draw,hh.h,o.i,o.k AS j FROM op o,(SELECT range::INT h FROM range(0,5)) hh) g JOIN base b ON b.i=g.i AND b.j=g.j AND b.rel=1 LEFT JOIN resp r ON r.draw=g.draw AND r.h=g.h AND r.i=g.i AND r.j=g.j) SELECT draw,h,x.r-w.r AS value FROM ({rec_sql('y')}) x JOIN ({rec_sql('mu')}) w USING (draw,h)", "op", "base")
+FULL = f"WITH resp AS MATERIALIZED ({irf_sql(True)}), full_ AS MATERIALIZED (SELECT g.draw,g.h,g.i,g.j,coalesce(r.y,0)+b.mu y,b.mu mu FROM (SELECT DISTINCT o.draw,hh.h,o.i,o.k AS j FROM op o,(SELECT range::INT h FROM range(0,5)) hh) g JOIN base b ON b.i=g.i AND b.j=g.j AND b.rel=1 LEFT JOIN resp r ON r.draw=g.draw AND r.h=g.h AND r.i=g.i AND r.j=g.j)"
+
+
+@query("draw h", "value", f"{FULL} SELECT draw,h,x.r-w.r AS value FROM ({rec_sql('y')}) x JOIN ({rec_sql('mu')}) w USING (draw,h)", "op", "base")
 def irf_reciprocity(spark, d):
     return irf.statistic(full_response(spark), fx.base(spark).where("rel = 1").drop("rel"), netstats.reciprocity, "reciprocity")
 
 
-@query("draw h", "value")
+def tri_sql(value: str) -> str:
+    edges = f"(SELECT draw,h,i,j FROM full_ WHERE {value}>0)"
+    closed = f"(SELECT a.draw,a.h,count(*)/6 n FROM {edges} a JOIN {edges} b ON b.draw=a.draw AND b.h=a.h AND b.i=a.j JOIN {edges} c ON c.draw=a.draw AND c.h=a.h AND c.i=b.j AND c.j=a.i GROUP BY ALL)"
+    open_ = f"(SELECT draw,h,sum(d*(d-1))/2 n FROM (SELECT draw,h,i,count(*) d FROM {edges} GROUP BY ALL) GROUP BY ALL)"
+    return f"SELECT k.draw,k.h,coalesce(c.n/nullif(o.n,0),0) r FROM (SELECT DISTINCT draw,h FROM full_) k LEFT JOIN {closed} c ON c.draw=k.draw AND c.h=k.h LEFT JOIN {open_} o ON o.draw=k.draw AND o.h=k.h"
+
+
+@query("draw h", "value", f"{FULL} SELECT draw,h,x.r-w.r AS value FROM ({tri_sql('y')}) x JOIN ({tri_sql('mu')}) w USING (draw,h)", "op", "base")
 def irf_transitivity(spark, d):
     return irf.statistic(full_response(spark), fx.base(spark).where("rel = 1").drop("rel"), netstats.transitivity, "transitivity")
 
