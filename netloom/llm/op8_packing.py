@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+CACHE = 600_000
 PLAIN = r"[^\x00-ɏ‐-‧]"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -39,7 +40,7 @@ def byte_letters() -> dict[int, str]:
 class Ids(dict):
     """Token ids of texts as little-endian unsigned 32-bit bytes; it maps pre-tokens to theirs, and is bounded."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = CACHE):
         import regex
         from tokenizers import Tokenizer
 
@@ -65,16 +66,16 @@ class Ids(dict):
 
 
 @lru_cache(2)
-def ids_of(path: str) -> Ids:
-    return Ids(path)
+def ids_of(path: str, most: int) -> Ids:
+    return Ids(path, most)
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2, with_ids: bool = False) -> DataFrame:
-    """Rows (doc_id, piece, start, length, ids_crc32), and ids (binary) if asked for."""
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2, with_ids: bool = False, cache: int = CACHE) -> DataFrame:
+    """Rows (doc_id, piece, start, length, ids_crc32), and ids (binary) if asked for; a Python worker keeps up to `cache` pre-tokens, which changes no id."""
     schema = PIECES + (", ids binary" if with_ids else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, tail = ids_of(tokenizer), end.to_bytes(4, "little")
+        ids, tail = ids_of(tokenizer, cache), end.to_bytes(4, "little")
         names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
         for batch in batches:
@@ -193,8 +194,8 @@ def pack(found: DataFrame, capacity: int = 1024) -> DataFrame:
     return placed.select(*found.columns, (F.col("base") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2) -> DataFrame:
-    return pack(staged(pieces(docs, tokenizer, capacity, end), "pieces"), capacity)
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2, cache: int = CACHE) -> DataFrame:
+    return pack(staged(pieces(docs, tokenizer, capacity, end, cache=cache), "pieces"), capacity)
 
 
 def sequences(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2) -> DataFrame:

@@ -461,3 +461,9 @@ def test_op8_finds_every_exact_filling():
         items = list(h.elements())
         exact = any(sum(c) == 40 and max(items) in c for k in range(1, 5) for c in itertools.combinations(items, k))
         assert any(sum(p) == 40 for p, _ in op8_packing.plan(h, 40)) or not exact
+
+
+def test_op8_cache_changes_no_id():
+    texts = ["one two three two one " * 5, "grün  \n und blau", "", "a1b2c3 ..."]
+    full, small = op8_packing.Ids(tokenizer_path()), op8_packing.Ids(tokenizer_path(), 2)
+    assert [full(t) for t in texts] == [small(t) for t in texts] and len(small) == 2 < len(full)
