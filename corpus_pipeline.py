@@ -38,9 +38,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their places in sequences of 1024 tokens."""
+    """Pieces with their places in sequences of 1024 tokens; the cache is smaller than op8's own, as idle workers keep theirs while other stages run."""
     ship(spark)
-    return op8_packing.pack_documents(docs, tokenizer_path())
+    return op8_packing.pack_documents(docs, tokenizer_path(), cache=250_000)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("private_data", private_data), ("mixture", mixture), ("packing", packing)]
